@@ -10,14 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
 #: Rows and bytes that a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased runs of word characters."""
-    return WORD.findall(text.lower())
+#: Bytes of lower-case UTF-8: ASCII letters, digits, _ and whatever isn't ASCII stay, the rest becomes a space.
+TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c == 95 or c >= 128 else 32 for c in range(256))
+#: Punctuation and spaces beyond ASCII.
+MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2000-\u206f\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe10-\ufe6f\uff01-\uff0f]+")
+
+
+def words(text: str) -> list[bytes]:
+    """Lower-case words as UTF-8: runs of letters, digits, _ and other characters that are neither punctuation nor space."""
+    text = text.lower()
+    if not text.isascii():
+        text = MARKS.sub(" ", text)
+    return text.encode("utf-8", "replace").translate(TABLE).split()
 
 
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
