@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from loomgrid.llm import decontam, langid, packing, pii, quality
+from loomgrid.llm import decontam, langid, packing, pii, quality, simhash, simple8b, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_pii_anchor_expansion": pii.query,
+    "op5_toxicity_ftrl": toxicity.query,
+    "op6_simhash_near_dedup": simhash.query,
     "op7_language_id": langid.query,
     "op8_decontamination": decontam.query,
     "op9_quality_cascade": quality.query,
+    "op10_simple8b_tokens": simple8b.query,
 }
 SQL = {"op9_quality_cascade": quality.sql()}
