@@ -170,11 +170,16 @@ def found(rows: list[tuple]) -> dict:
     return dict(zip(("doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles"), zip(*rows) if rows else ((),) * 6))
 
 
+def prepared(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, int]:
+    """(item_id, text) of the usable items, and the bytes of their texts."""
+    items = pick(benchmark, item_id=benchmark[item_id].cast("long"), text=benchmark[item_text].cast("string")).filter("item_id is not null and text is not null")
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each document and item that it covers."""
-    items = pick(benchmark, item_id=benchmark[item_id].cast("long"), text=benchmark[item_text].cast("string")).filter("item_id is not null and text is not null")
+    items, held = prepared(benchmark, item_id, item_text)
     texts = pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string")).filter("text is not null")
-    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if held > broadcast_bytes:
         return joined(texts, items, min_match, threshold)
     index = Index([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()], min_match)
@@ -220,10 +225,21 @@ def joined(texts: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, thres
     return docs.select("doc_id", "doc_key").join(best, "doc_key").select("doc_id", "item_id", "m.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that cover no item, with all their columns. Documents of null id stay unless another way finds them; see `find`."""
-    dirty = find(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs[id_col] == dirty["__dirty"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that cover no item, with all their columns. Judged by text alone, so null and repeated ids are no matter."""
+    items, held = prepared(benchmark, item_id, item_text)
+    text = docs[text_col].cast("string")
+    if held > broadcast_bytes:
+        texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).filter("text is not null").dropDuplicates(["doc_id"])
+        dirty = joined(texts, items, min_match, threshold).select(F.col("doc_id").alias("__key")).distinct()
+        return docs.join(dirty, F.xxhash64(text) == dirty["__key"], "left_anti")
+    index = Index([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()], min_match)
+
+    @F.arrow_udf("boolean")
+    def covers(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(index(t, threshold)) for t in texts.to_pylist()], pa.bool_())
+
+    return docs.filter(text.isNull() | ~covers(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,12 +207,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def replaced(text: Column) -> Column:
     """The text with every span replaced by its kind in capitals, as <EMAIL>."""
 
-    @F.pandas_udf("string")
-    def f(texts):
-        finder = Finder()
-        return texts.map(lambda t: mask(t, finder))
+    made: list[Finder] = []
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Finder())
+        return pa.array([mask(t, made[0]) for t in texts.to_pylist()], pa.string())
 
-    return f(text)
+    return masked(text)
 
 
 def mask(t: str | None, finder: Finder) -> str | None:
