@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomgrid.plans import catalog, dag, events, health, metrics, scoring, search, web  # noqa: F401  (each registers its queries)
+from loomgrid.plans.registry import IDS, QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["IDS", "QUERIES", "SQL"]
