@@ -47,6 +47,7 @@ def exchange(m: np.ndarray, fixed: int = 2, classes: int = CLASSES, sweeps: int
         right[:, c], left[:, c] = m[:, own].sum(axis=1), m[own].sum(axis=0)
     g = one.T @ right
     out_of, into = m.sum(axis=1).astype(float), m.sum(axis=0).astype(float)
+    n_out, n_in = np.bincount(of, out_of, total)[:k], np.bincount(of, into, total)[:k]
     for _ in range(sweeps if k > 1 else 0):
         changes = 0
         for w in range(v):
@@ -57,11 +58,12 @@ def exchange(m: np.ndarray, fixed: int = 2, classes: int = CLASSES, sweeps: int
             g[a] -= l
             g[:, a] -= r
             g[a, a] -= s
+            n_out[a] -= out_of[w]
+            n_in[a] -= into[w]
             h = xlogx(g)
             row, col = xlogx(g[:k] + l).sum(axis=1) - h[:k].sum(axis=1), xlogx(g[:, :k] + r[:, None]).sum(axis=0) - h[:, :k].sum(axis=0)
             d, e = np.diag(g)[:k], np.diag(h)[:k]
             both = xlogx(d + l[:k] + r[:k] + s) - e - (xlogx(d + l[:k]) - e) - (xlogx(d + r[:k]) - e)
-            n_out, n_in = g[:k].sum(axis=1), g[:, :k].sum(axis=0)
             gain = row + col + both - (xlogx(n_out + out_of[w]) - xlogx(n_out)) - (xlogx(n_in + into[w]) - xlogx(n_in))
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
@@ -69,6 +71,8 @@ def exchange(m: np.ndarray, fixed: int = 2, classes: int = CLASSES, sweeps: int
             g[b] += l
             g[:, b] += r
             g[b, b] += s
+            n_out[b] += out_of[w]
+            n_in[b] += into[w]
             if b != a:
                 changes += 1
                 of[w] = b
@@ -155,6 +159,8 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, c
         yield pa.RecordBatch.from_arrays([pa.array([of.astype("<i8").tobytes()], pa.binary()), pa.array([g.astype("<f8").tobytes()], pa.binary())], ["classes", "counts"])
 
     row = bigrams.repartition(1).mapInArrow(cluster, "classes binary, counts binary").first()
+    if row is None:  # no documents
+        return Model([], 0, 0, np.arange(2), np.zeros((2, 2)))
     of = np.frombuffer(row["classes"], "<i8")
     g = np.frombuffer(row["counts"], "<f8").reshape(int(of.max()) + 1, -1)
     return Model(top, tokens - sum(n for _, n in top), types - len(top), of, g)
