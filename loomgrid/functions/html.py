@@ -8,16 +8,16 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DROPPED = {"script", "style", "nav", "footer", "header", "aside", "iframe", "noscript"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+DROPPED = set("aside footer header iframe nav noscript script style".split())
+VOID = set("area base br col embed hr img input link meta source track wbr".split())
 MOST = 8000
 
 
 class Tree(HTMLParser):
     """Texts with the regions that are open around them."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self) -> None:
+        HTMLParser.__init__(self, convert_charrefs=True)
         self.open, self.parts, self.seen = [], {k: [] for k in ("main", "article", "content", "body", "all")}, set()
         self.links, self.link = [], None
 

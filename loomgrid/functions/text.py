@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shlex
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +48,18 @@ def is_code(kind: Column, text: Column) -> Column:
 
 def capped(text: Column, most: int = 8000) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" [truncated]"))).otherwise(text)
+
+
+def arguments(command: Column) -> Column:
+    """A command line split as a shell would; null where its quotes don't match."""
+    def split(x: str | None) -> list[str] | None:
+        try:
+            return None if x is None else shlex.split(x)
+        except ValueError:
+            return None
+
+    @F.arrow_udf("array<string>")
+    def f(commands: pa.Array) -> pa.Array:
+        return pa.array([split(x) for x in commands.to_pylist()], pa.list_(pa.string()))
+
+    return f(command)

@@ -79,3 +79,16 @@ def parameter_schema(name: Column, kind: Column, least: Column, most: Column, re
 
 def example_value(kind: Column) -> Column:
     return F.when(kind == "string", '"example"').when(kind == "integer", "42").when(kind == "number", "3.14").when(kind == "boolean", "true").when(kind == "array", "[]").when(kind == "object", "{}").otherwise("null")
+
+
+def retagged(tools: DataFrame, changes: DataFrame) -> DataFrame:
+    """tool_id, tags after a log of (tool_id, seq, action, tag): the last action on a tag counts. One aggregation and one join."""
+    last = changes.groupBy("tool_id", "tag").agg(F.max_by("action", "seq").alias("action")).groupBy("tool_id").agg(F.collect_set(F.when(F.col("action") == "add", F.col("tag"))).alias("added"), F.collect_set(F.when(F.col("action") == "remove", F.col("tag"))).alias("removed"))
+    none = F.array().cast("array<string>")
+    kept = F.array_except(F.array_distinct(F.concat("tags", F.coalesce("added", none))), F.coalesce("removed", none))
+    return tools.join(last, "tool_id", "left").select("tool_id", F.array_sort(kept).alias("tags"))
+
+
+def spark_type(kind: Column) -> Column:
+    """Names of parameter types as column types; unknown ones are strings."""
+    return F.when(kind == "integer", "bigint").when(kind == "number", "double").when(kind == "boolean", "boolean").when(kind == "array", "array<string>").when(kind == "object", "map<string,string>").otherwise("string")

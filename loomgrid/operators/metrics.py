@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomgrid.sources.shared import checkpointed
+
 
 def trailing(log: DataFrame, as_of: str, days: int, ts: str = "ts") -> DataFrame:
     """Rows no older than so many days before as_of. The bound is a literal, so that it reaches the scan."""
@@ -46,12 +48,13 @@ def assign(tasks: DataFrame, order: str, k: int) -> DataFrame:
     """Round-robin: the variation is the number of earlier assignments modulo k.
 
     The numbers come from ranges: rows are sorted by range partition, partitions counted, and each adds its offset, so no single task sees all rows.
+    The places are written down first: ranges are found by sampling, and a second reading could draw them elsewhere.
     """
     if tasks.select(order).schema[0].dataType.typeName() not in ("long", "integer"):
         raise ValueError("the order must be an integer")
     ranged = tasks.repartitionByRange(order).sortWithinPartitions(order)
     numbered = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
-    return number(numbered).withColumn("variation", (F.col("__n") % k).cast("long")).drop("__n")
+    return number(checkpointed(numbered)).withColumn("variation", (F.col("__n") % k).cast("long")).drop("__n")
 
 
 def number(numbered: DataFrame) -> DataFrame:

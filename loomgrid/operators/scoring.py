@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 #: Words that add lines of code: any of them, so many lines.
 LINES = [(400, "interface ui"), (200, "api"), (300, "db database"), (500, "auth authentication")]
 OUTSIDE = "api external integration service third-party".split()
-RISKS = {"data migration": "Data migration required", "legacy": "Legacy system integration", "performance": "Performance optimization needed", "scalability": "Scalability considerations", "security": "Security implementation required"}
+RISKS = dict(x.split(": ") for x in ("data migration: Data migration required", "legacy: Legacy system integration", "performance: Performance optimization needed", "scalability: Scalability considerations", "security: Security implementation required"))
 SKILLS = {k: sorted(v.split()) for k, v in {"testing": "validation test quality qa", "security": "security encryption authentication", "devops": "kubernetes docker deployment ci/cd", "backend": "python node java database api", "frontend": "vue react javascript html css"}.items()}
 HOURS = {"refactor": 6, "feature": 8, "documentation": 2, "code_review": 1, "bugfix": 4}
 #: Level, most hours, most components, most skills; the first that holds.

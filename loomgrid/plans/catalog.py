@@ -134,3 +134,19 @@ def describe(t: Tables) -> DataFrame:
 @query("p25_discovery_filter", "P-25 S-16", f"with {SQL} select tool_id from tools where not contains(name, 'hot') and not contains(name, 'bolt') and category = 'Brand#4' and length(name) > 8")
 def discovery(t: Tables) -> DataFrame:
     return tools(t).filter(~F.contains("name", F.lit("hot")) & ~F.contains("name", F.lit("bolt"))).filter("category = 'Brand#4'").filter(F.length("name") > 8).select("tool_id")
+
+
+@query("d04_retagged", "D-04 U-11", f"""with {SQL}, c as (select tool_id, seq as at, case when seq % 3 = 0 then 'remove' else 'add' end as action, case when seq % 2 = 0 then 'red' else 'new' end as tag from tools)
+select tool_id, array_to_string(list_sort(list_distinct(case when action = 'add' then list_append(tags, tag) else list_filter(tags, lambda x: x <> tag) end)), ',') as tags from tools join c using (tool_id)""")
+def retagged(t: Tables) -> DataFrame:
+    every = tools(t)
+    seq = F.col("seq")
+    log = every.select("tool_id", "seq", F.when(seq % 3 == 0, "remove").otherwise("add").alias("action"), F.when(seq % 2 == 0, "red").otherwise("new").alias("tag"))
+    earlier = log.select("tool_id", (seq - 10_000_000).alias("seq"), F.lit("add").alias("action"), "tag")
+    return C.retagged(every.select("tool_id", "tags"), log.unionByName(earlier)).select("tool_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("f30_types", "F-30", f"select name, case type when 'integer' then 'bigint' when 'boolean' then 'boolean' when 'array' then 'array<string>' when 'object' then 'map<string,string>' else 'string' end as column_type from (values {VALUES}) p(name, type, a, b, c, d)")
+def types(t: Tables) -> DataFrame:
+    p = t.spark.createDataFrame(PARAMETERS, "name string, type string, least int, most int, required boolean, preset string")
+    return p.select("name", C.spark_type(p.type).alias("column_type"))

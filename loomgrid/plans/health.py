@@ -45,3 +45,10 @@ def command_result(t: Tables) -> DataFrame:
     from loomgrid.functions.text import capped
 
     return t.events.select("event_id", ((F.col("event_id") % 3) == 0).alias("success"), F.length("props").cast("long").alias("stdout_size"), capped(F.col("props"), 8).alias("stdout"))
+
+
+@query("f44_arguments", "F-44 S-12", "select n_nationkey, 'grep|-n|' || n_name || ' x' as arguments from nation")
+def arguments(t: Tables) -> DataFrame:
+    from loomgrid.functions.text import arguments as split
+
+    return t.nation.select("n_nationkey", F.array_join(split(F.concat(F.lit("grep -n '"), "n_name", F.lit(" x'"))), "|").alias("arguments"))

@@ -82,12 +82,12 @@ def back_off(t: Tables) -> DataFrame:
     return t.events.select("event_id", http.back_off(n).alias("linear"), F.round(http.back_off(n, factor=1.5), 6).alias("growing"))
 
 
-@query("f50_parameters", "F-50 F-03", "select page_id, upper(trim(v)) as method, upper(trim(v)) in ('GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'HEAD', 'OPTIONS') as known, lower(trim(l)) as language, length(trim(l)) = 2 as good from (select page_id, case page_id % 3 when 0 then ' get ' when 1 then 'Post' else 'trace' end as v, case page_id % 2 when 0 then ' EN' else 'deu' end as l from pages)")
+@query("f50_parameters", "F-50 F-03", "select page_id, upper(trim(v)) as method, upper(trim(v)) in ('DELETE', 'GET', 'HEAD', 'OPTIONS', 'PATCH', 'POST', 'PUT') as known, lower(trim(l)) as language, length(trim(l)) = 2 as good from (select page_id, case page_id % 3 when 0 then ' get ' when 1 then 'Post' else 'trace' end as v, case page_id % 2 when 0 then ' EN' else 'deu' end as l from pages)")
 def parameters(t: Tables) -> DataFrame:
     k = F.col("page_id")
     v, l = F.when(k % 3 == 0, " get ").when(k % 3 == 1, "Post").otherwise("trace"), F.when(k % 2 == 0, " EN").otherwise("deu")
     method = F.upper(F.trim(v))
-    return t.pages.select("page_id", method.alias("method"), method.isin("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS").alias("known"), F.lower(F.trim(l)).alias("language"), (F.length(F.trim(l)) == 2).alias("good"))
+    return t.pages.select("page_id", method.alias("method"), method.isin("DELETE GET HEAD OPTIONS PATCH POST PUT".split()).alias("known"), F.lower(F.trim(l)).alias("language"), (F.length(F.trim(l)) == 2).alias("good"))
 
 
 @query("f11_html_text", "F-11 F-12")

@@ -126,6 +126,27 @@ def settings(path: str, defaults: dict | None = None, overrides: dict | None = N
     return deep_merge(deep_merge(defaults or {}, own), overrides or {})
 
 
+def save_settings(values: dict, path: str) -> None:
+    """JSON with an indent of two."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(values, indent=2))
+
+
+def from_environment(prefix: str, values: dict[str, str] | None = None) -> dict:
+    """Settings from variables: PREFIX_A__B=1 is {"a": {"b": 1}}; values that are JSON are read as such."""
+    out: dict = {}
+    for k, v in sorted((values if values is not None else os.environ).items()):
+        if k.startswith(prefix):
+            try:
+                value = json.loads(v)
+            except ValueError:
+                value = v
+            for part in reversed(k[len(prefix) :].lower().split("__")):
+                value = {part: value}
+            out = deep_merge(out, value)
+    return out
+
+
 def deep_merge(left: dict, right: dict) -> dict:
     """Right wins; two dicts under one key are merged, anything else is replaced."""
     out = dict(left)

@@ -68,3 +68,6 @@ def test_settings(tmp_path):
     assert got == {"a": {"b": 2, "x": 1}, "c": 3}
     assert S.lookup(got, "a.b") == 2 and S.lookup(got, "a.q", 9) == 9
     assert S.settings(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
+    S.save_settings(got, str(tmp_path / "d/e.json"))
+    assert S.settings(str(tmp_path / "d/e.json")) == got
+    assert S.from_environment("X_", {"X_A__B": "1", "X_A__C": "yes", "Y": "2"}) == {"a": {"b": 1, "c": "yes"}}

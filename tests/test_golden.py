@@ -9,7 +9,8 @@ from loomgrid.operators.registry import Registry, safe_predicate
 
 
 def test_task_metrics(spark):
-    rows = [("a", True, 1.0, 90.0, 95.0), ("a", True, 1.5, 85.0, 90.0), ("a", False, 3.0, 40.0, 30.0), ("a", True, 1.2, 88.0, 92.0)]
+    ok, took, quality, liked = (True, True, False, True), (1.0, 1.5, 3.0, 1.2), (90.0, 85.0, 40.0, 88.0), (95.0, 90.0, 30.0, 92.0)
+    rows = [("a", *r) for r in zip(ok, took, quality, liked)]
     r = metrics.task_metrics(spark.createDataFrame(rows, "agent string, success boolean, response_time double, quality_score double, satisfaction double"), "agent", satisfaction="satisfaction").first()
     assert (r.total_tasks, r.successful_tasks, r.failed_tasks, r.success_rate, r.error_rate) == (4, 3, 1, 75.0, 25.0)
     assert (r.average_response_time, r.average_quality, r.average_satisfaction) == (1.675, 75.75, 76.75)
