@@ -18,10 +18,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import pick
+from loomgrid.llm.common import arrow_map, pick
 
 #: Permitted lengths, and what a sequence costs besides its tokens.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 32
@@ -59,19 +60,22 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhea
     return [(b, small[b], at) for b, at in where]
 
 
-def word_count(text: Column) -> Column:
-    """White-space separated words of a text, and one mark of its end; 0 for a text without words."""
-    spaced = F.regexp_replace(F.btrim(text, F.lit(" \t\n\r")), "[ \t\n\r]+", " ")
-    return F.when(F.coalesce(F.length(spaced), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 2)
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tokens: white-space separated words and one mark of the text's end; 0 for a text without words."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        n = [len(t.split()) if t else 0 for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "tokens": [x and x + 1 for x in n]}
+
+    return arrow_map(pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string")), run, "doc_id long, tokens long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, start, tokens, shard, bin, capacity, bin_offset: a row a piece. length: tokens of a document, if not its words."""
     most = max(capacities)
-    sized = pick(docs, doc_id=docs[id_col].cast("long"), tokens=(word_count(docs[text_col].cast("string")) if length is None else length).cast("long"))
+    sized = word_counts(docs, id_col, text_col) if length is None else pick(docs, doc_id=docs[id_col].cast("long"), tokens=length.cast("long"))
     sized = sized.filter("tokens > 0")
-    n = sized.agg(F.count("*")).first()[0] if shard else 0
-    shards = max(1, -(-n // max(1, shard)))
+    shards = max(1, -(-docs.count() // shard))  # from the files' footers, without reading texts
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"], kind="stable")
