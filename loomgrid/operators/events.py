@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Subscriptions go to every worker up to this many.
+BROADCAST_ROWS = 100_000
+
 
 def fan_out(events: DataFrame, subscriptions: DataFrame, name: str = "name") -> DataFrame:
     """A row a delivery. The equal names and the wildcard are two joins, since an OR of them would compare every pair.
@@ -13,6 +16,8 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, name: str = "name") ->
     Subscriptions that are off get nothing.
     """
     on = subscriptions.filter("enabled")
+    if on.count() <= BROADCAST_ROWS:  # else the optimiser decides; a local table has no size that it knows
+        on = F.broadcast(on)
     exact = events.join(on.filter("pattern <> '*'"), events[name] == F.col("pattern"))
     return exact.unionByName(events.crossJoin(on.filter("pattern = '*'")))
 
