@@ -47,9 +47,6 @@ def layers(tasks: DataFrame) -> DataFrame:
 
     Each round settles the tasks whose dependencies are all settled; the settled set is checkpointed, so the plan stays short.
     """
-    from pyspark.sql import SparkSession as S
-
-    spark = tasks.sparkSession or S.active()
     e = edges(tasks)
     e = e.join(unresolved(tasks), ["plan", "task", "waits_for"], "left_anti")
     todo = tasks.select("plan", "task")
@@ -61,11 +58,11 @@ def layers(tasks: DataFrame) -> DataFrame:
         n, k = now, k + 1
         left = todo.join(done, ["plan", "task"], "left_anti")
         waiting = e.join(done.select("plan", F.col("task").alias("waits_for")), ["plan", "waits_for"], "left_anti").select("plan", "task").distinct()
-        done = settled(spark, done.unionByName(left.join(waiting, ["plan", "task"], "left_anti").withColumn("layer", F.lit(k).cast("long"))))
+        done = settled(done.unionByName(left.join(waiting, ["plan", "task"], "left_anti").withColumn("layer", F.lit(k).cast("long"))))
     return done
 
 
-def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Cut off from its lineage through the shared checkpoint folder."""
     from loomgrid.sources.shared import checkpointed
 

@@ -52,11 +52,11 @@ def latest(t: Tables) -> DataFrame:
     return C.latest(tools(t)).select("name", "tool_id")
 
 
-@query("j01_resolve_identifier", "J-01 J-15", f"""with {SQL}, a as (select 'alias-' || seq as alias, tool_id from tools where seq % 10 = 0), n as (select name, tool_id from (select *, row_number() over (partition by name order by registered_at desc nulls last, seq) as n from tools) where n = 1),
+@query("j01_resolve_identifier", "J-01 J-15", f"""with {SQL}, a as (select 'alias-' || seq as alias, tool_id from tools), n as (select name, tool_id from (select *, row_number() over (partition by name order by registered_at desc nulls last, seq) as n from tools) where n = 1),
 w as (select unnest(['5', 'alias-20', 'red plate', 'nothing', 'alias-21']) as identifier) select identifier, coalesce(t.tool_id, a.tool_id, n.tool_id) as tool_id from w left join tools t on t.tool_id = identifier left join a on alias = identifier left join n on n.name = identifier""")
 def resolve(t: Tables) -> DataFrame:
     every = tools(t)
-    aliases = every.filter("seq % 10 = 0").select(F.concat(F.lit("alias-"), F.col("tool_id")).alias("alias"), "tool_id")
+    aliases = every.select(F.concat(F.lit("alias-"), F.col("tool_id")).alias("alias"), "tool_id")
     wanted = t.spark.createDataFrame([(x,) for x in ("5", "alias-20", "red plate", "nothing", "alias-21")], "identifier string")
     return C.resolve(wanted, every, aliases)
 
@@ -107,10 +107,10 @@ def header_merge(t: Tables) -> DataFrame:
     return d.select("doc_id", F.col("m")["accept"].alias("accept"), F.col("m")["agent"].alias("agent"), F.coalesce(F.get_json_object("b", "$.h.trace"), F.lit("none")).alias("trace"))
 
 
-@query("s18_upsert", "S-18 J-14 D-02 D-03", """with new as (select s_name, s_nationkey + 100 as s_nationkey from supplier where s_suppkey % 4 = 0 union all select 'new-' || n_name, n_nationkey from nation)
+@query("s18_upsert", "S-18 J-14 D-02 D-03", """with new as (select s_name, s_nationkey + 100 as s_nationkey from supplier where s_acctbal < 1000 union all select 'new-' || n_name, n_nationkey from nation)
 select s_name, s_nationkey from supplier s where not exists (select 1 from new where new.s_name = s.s_name) union all select * from new""")
 def upsert(t: Tables) -> DataFrame:
-    new = t.supplier.filter("s_suppkey % 4 = 0").select("s_name", (F.col("s_nationkey") + 100).alias("s_nationkey")).unionByName(t.nation.select(F.concat(F.lit("new-"), F.col("n_name")).alias("s_name"), F.col("n_nationkey").alias("s_nationkey")))
+    new = t.supplier.filter("s_acctbal < 1000").select("s_name", (F.col("s_nationkey") + 100).alias("s_nationkey")).unionByName(t.nation.select(F.concat(F.lit("new-"), F.col("n_name")).alias("s_name"), F.col("n_nationkey").alias("s_nationkey")))
     return C.upsert(t.supplier.select("s_name", "s_nationkey"), new, "s_name")
 
 

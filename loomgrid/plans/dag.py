@@ -56,7 +56,7 @@ def critical_path(t: Tables) -> DataFrame:
     e, ends = D.edges(p), done.filter("layer = 0").select("plan", "task", F.col("hours").alias("ends"))
     for k in range(1, (done.agg(F.max("layer")).first()[0] or 0) + 1):
         before = e.join(ends.select("plan", F.col("task").alias("waits_for"), F.col("ends").alias("b")), ["plan", "waits_for"]).groupBy("plan", "task").agg(F.max("b").alias("b"))
-        ends = D.settled(t.spark, ends.unionByName(done.filter(F.col("layer") == k).join(before, ["plan", "task"]).select("plan", "task", (F.col("b") + F.col("hours")).alias("ends"))))
+        ends = D.settled(ends.unionByName(done.filter(F.col("layer") == k).join(before, ["plan", "task"]).select("plan", "task", (F.col("b") + F.col("hours")).alias("ends"))))
     total = p.groupBy("plan").agg(F.sum("hours").alias("total"))
     return ends.groupBy("plan").agg(F.max("ends").alias("hours")).join(total, "plan").select("plan", "hours", (F.col("total") - F.col("hours")).alias("saved"))
 

@@ -1,4 +1,4 @@
-"""Health: a user is a manager, each event a check, errors fail and signups are critical; views have no result."""
+"""Health: a user is a manager, the last event of each type a check; signups and purchases are critical, views have no result."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from loomgrid.operators import health as H
 from loomgrid.plans.registry import Tables, query
 
-CHECKS = "(select user_id as manager, value < 300 as critical, case when event_type <> 'view' then event_type <> 'error' or value < 200 end as ok from events where event_id % 7 < 2)"
+CHECKS = "(select user_id as manager, event_type in ('signup', 'purchase') as critical, case when event_type <> 'view' then v < 150 end as ok from (select user_id, event_type, arg_max(value, event_id) as v from events group by 1, 2))"
 MANAGERS = f"m as (select manager, case when bool_or(critical and not ok) then 'unhealthy' when bool_or(not coalesce(ok, false)) then 'degraded' else 'healthy' end as status, bool_and(coalesce(ok, true)) as is_healthy from {CHECKS} group by 1)"
 
 
 def checks(t: Tables) -> DataFrame:
-    kind, v = F.col("event_type"), F.col("value")
-    return t.events.filter("event_id % 7 < 2").select(F.col("user_id").alias("manager"), (v < 300).alias("critical"), F.when(kind != "view", (kind != "error") | (v < 200)).alias("ok"))
+    last = t.events.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("v"))
+    kind = F.col("event_type")
+    return last.select(F.col("user_id").alias("manager"), kind.isin("signup", "purchase").alias("critical"), F.when(kind != "view", F.col("v") < 150).alias("ok"))
 
 
 @query("a13_manager_health", "A-13 A-14 F-51", f"with {MANAGERS} select * from m")

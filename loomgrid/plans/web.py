@@ -122,12 +122,12 @@ def url_dedup(t: Tables) -> DataFrame:
     return first.select("page_id", "href", F.row_number().over(W.partitionBy("page_id").orderBy("pos")).cast("long").alias("ordinal"))
 
 
-@query("u07_fallback_chain", "U-07 U-02 S-08 S-09 F-24", """with s as (select 1 as rank, page_id, url as result from pages where page_id % 4 = 0 union all select 2, page_id, 'html:' || url from pages where page_id % 2 = 0 union all select 3, page_id, 'instant:' || page_id from pages),
+@query("u07_fallback_chain", "U-07 U-02 S-08 S-09 F-24", """with s as (select 1 as rank, page_id, url as result from pages where url like 'https:%' union all select 2, page_id, 'html:' || url from pages where contains(url, 'www.') union all select 3, page_id, 'instant:' || page_id from pages),
 b as (select page_id, min(rank) as rank from s group by 1) select page_id, result, cast(rank as bigint) as rank from s join b using (page_id, rank)""")
 def fallback_chain(t: Tables) -> DataFrame:
     p = t.pages
-    lite = p.filter("page_id % 4 = 0").select(F.lit(1).alias("rank"), "page_id", F.col("url").alias("result"))
-    serp = p.filter("page_id % 2 = 0").select(F.lit(2).alias("rank"), "page_id", F.concat(F.lit("html:"), "url").alias("result"))
+    lite = p.filter("url like 'https:%'").select(F.lit(1).alias("rank"), "page_id", F.col("url").alias("result"))
+    serp = p.filter("contains(url, 'www.')").select(F.lit(2).alias("rank"), "page_id", F.concat(F.lit("html:"), "url").alias("result"))
     instant = p.select(F.lit(3).alias("rank"), "page_id", F.concat(F.lit("instant:"), F.col("page_id").cast("string")).alias("result"))
     best = lite.unionByName(serp).unionByName(instant).groupBy("page_id").agg(F.min(F.struct("rank", "result")).alias("m"))
     return best.select("page_id", "m.result", F.col("m.rank").cast("long").alias("rank"))

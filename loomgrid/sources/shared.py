@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as written to spark.checkpoint.dir; a temporary folder is set only where the session names none, as in tests."""
+    """The rows as written to spark.checkpoint.dir. A local session that names none gets a temporary folder, as in tests; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgrid-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgrid-"))
     return df.checkpoint()
