@@ -68,11 +68,14 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only where the session names none."""
+    """Checkpoints go to spark.checkpoint.dir. Where the session names none, a local session gets a temporary folder; on a cluster that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgrid-"))
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgrid-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
