@@ -5,7 +5,7 @@ each dictionary; the language that makes it smallest wins, unless the runner-up
 share of the runner-up's size, is under `margin`; then the language is `und` and `accepted` is false.
 
 The dictionaries are fitted on a bounded sample of rows whose language is known (`per_language` rows a language, of the
-least hashes of their ids, up to `dictionary_bytes` bytes); everything else covers all rows and whole texts.
+least hashes of their ids, whole texts up to `dictionary_bytes` bytes); everything else covers all rows and whole texts.
 
 Defined results: a null, blank or empty text is `und` with null margin and not accepted; without any labelled row every
 text is so, and with one language only the margin is 1; equal sizes go to the language first in the alphabet, with
@@ -22,7 +22,9 @@ from pyspark.sql import Window as W
 
 from loomgrid.llm.common import arrow_map, blank, pick
 
-PER_LANGUAGE, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL, MARGIN = 400, 128 << 10, 512, 6, 0.003
+PER_LANGUAGE, DICTIONARY_BYTES, LEVEL, MARGIN = 600, 1 << 20, 6, 0.003
+#: A sample text is at most this share of its dictionary, so that no one text fills it; longer ones are passed over, none is cut.
+SHARE = 8
 
 
 def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -32,13 +34,13 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = {(r["id"], r["lang"]): r["n"] for r in ranked.collect()}  # per_language rows a language
     if not chosen:
         return {}
-    # a sample text gives its first SAMPLE_BYTES to the dictionary, so that many texts share it; this is the sample, not what is judged
-    texts = pick(docs, id=id_col, lang=lang_col, text=F.substring(docs[text_col].cast("string"), 1, SAMPLE_BYTES)).filter(F.col("id").isin([k for k, _ in chosen]))
+    text = docs[text_col].cast("string")
+    texts = pick(docs, id=id_col, lang=lang_col, text=text).filter(F.col("id").isin([k for k, _ in chosen])).filter(F.octet_length("text") * SHARE <= dictionary_bytes)
     out: dict[str, bytes] = {}
-    rows = sorted({(r["lang"], chosen[r["id"], r["lang"]], r["text"] or "") for r in texts.collect() if (r["id"], r["lang"]) in chosen})
-    for lang, _, text in rows:
-        if len(out.setdefault(lang, b"")) < dictionary_bytes:
-            out[lang] = (out[lang] + text.lower().encode("utf-8", "replace") + b"\n")[:dictionary_bytes]
+    for lang, _, text in sorted({(r["lang"], chosen[r["id"], r["lang"]], r["text"].lower()) for r in texts.collect() if (r["id"], r["lang"]) in chosen}):
+        raw = text.encode("utf-8", "replace") + b"\n"
+        if len(out.setdefault(lang, b"")) + len(raw) <= dictionary_bytes:
+            out[lang] += raw
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 

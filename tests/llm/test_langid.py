@@ -60,4 +60,7 @@ def test_ties_go_to_the_first_name():
 
 
 def test_sample_is_bounded(docs):
-    assert all(len(v) <= 500 for v in L.dictionaries(docs, per_language=5, dictionary_bytes=500).values())
+    few = L.dictionaries(docs, per_language=5, dictionary_bytes=20_000)
+    whole = {r.text.lower() for r in docs.collect()}
+    assert set(few) == set(WORDS) and all(len(v) <= 20_000 and set(v.decode().split("\n")[:-1]) <= whole and v.count(b"\n") == 5 for v in few.values())
+    assert L.dictionaries(docs, dictionary_bytes=800) == {}  # no text is as short as its share
