@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a boolean column that is true where a document fails. The cost of each rule (time on a sample,
-above that of reading it) and its selectivity (the share of the sample that it rejects) give its rank, rejections
-per cost; the rules are then joined by OR in that order, so that a document stops at the first rule that it fails.
-The order changes the time, never the result.
+Every rule is true where a document fails. The cost of each rule (time on a sample, with all that it has to measure)
+and its selectivity (the share of the sample that it rejects) give its rank, rejections per cost; the rules are then
+tried in that order, and a document stops at the first that it fails. The order changes the time, never the result.
+
+The cascade runs in Arrow batches: a rule measures only what it needs, keeps it for the next, and leaves off as soon as
+its outcome is settled, which expressions over whole texts can't do.
 
 Defined results: a null or blank text fails `blank`; a null in any other column has no effect; ties in rank keep the
 order in which the rules are given; repeated rows are judged one by one; an empty table gives an empty table; all columns
@@ -13,9 +15,12 @@ documents of at least `min_words` words, since ratios of a few words say nothing
 
 from __future__ import annotations
 
+import re
 import time
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,62 +35,110 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 SMALL = CAPITALS.lower()
 
 
-def rules(text: Column, limits: dict = LIMITS) -> dict[str, Column]:
-    """Name -> true where the text fails. None of them is null for a text that isn't null."""
+ASCII_CAPITALS, ASCII_LETTERS = (bytes(c for c in map(ord, x) if c < 128) for x in (CAPITALS, CAPITALS + SMALL))
+OTHER_CAPITALS, OTHER_SMALL = ("".join(c for c in x if not c.isascii()) for x in (CAPITALS, SMALL))
+SPLIT, STOPS = re.compile(rb"[ \t\n\r]+"), frozenset(STOP)
+
+
+class Measures:
+    """What the rules measure of a text, each when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode("utf-8", "replace")
+
+    @cached_property
+    def spaces(self) -> int:
+        return sum(self.raw.count(c.encode()) for c in SPACES)
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        if b"\x0b" in self.raw or b"\x0c" in self.raw:
+            return SPLIT.split(self.raw.strip(SPACES.encode()))
+        return self.raw.split()
+
+    @cached_property
+    def capitals(self) -> int:
+        n = len(self.raw) - len(self.raw.translate(None, ASCII_CAPITALS))
+        return n if self.text.isascii() else n + sum(map(self.text.count, OTHER_CAPITALS))
+
+    @cached_property
+    def letters(self) -> int:
+        n = len(self.raw) - len(self.raw.translate(None, ASCII_LETTERS))
+        return n if self.text.isascii() else n + sum(map(self.text.count, OTHER_CAPITALS + OTHER_SMALL))
+
+    def lines_repeat(self, most: float) -> bool:
+        lines = [x for x in (x.strip(SPACES) for x in self.text.split("\n")) if x]
+        return len(set(lines)) < (1 - most) * len(lines)
+
+    def distinct_under(self, n: float) -> bool:
+        seen: set[bytes] = set()
+        for w in self.words:
+            seen.add(w)
+            if len(seen) >= n:
+                return False
+        return len(seen) < n
+
+    def stop_words_under(self, n: int) -> bool:
+        seen: set[str] = set()
+        for w in self.words:
+            x = w.translate(None, b".,!").decode("utf-8", "replace").lower()
+            if x in STOPS:
+                seen.add(x)
+                if len(seen) >= n:
+                    return False
+        return len(seen) < n
+
+
+def rules(limits: dict = LIMITS) -> dict[str, Callable[[Measures], bool]]:
+    """Name -> test that is true where the text fails."""
     m = limits["min_words"]
-    trimmed = F.btrim(text, F.lit(SPACES))
-    spaced = F.regexp_replace(trimmed, "[ \t\n\r]+", " ")
-    size = F.length(text) - F.length(F.translate(text, SPACES, ""))  # white space, at least one less than the words
-    many = F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1
-    split = F.split(trimmed, "[ \t\n\r]+")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: F.length(x) > 0)
-    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
-    letters = count(CAPITALS + SMALL)
-    length = F.length(F.translate(text, SPACES, "")).cast("double") / many
-    distinct = F.size(F.array_distinct(split)).cast("double")
-    stop = F.size(F.array_intersect(F.split(F.lower(F.translate(trimmed, ".,!", "")), "[ \t\n\r]+"), F.array(*map(F.lit, STOP))))
+    marks = [c.encode() for c in SYMBOLS]
+
+    def symbols(x: Measures) -> bool:
+        n = sum(map(x.raw.count, marks))
+        return n > 0 and x.spaces >= m - 1 and n > limits["symbols"] * len(x.words)
+
     return {
-        "blank": F.length(trimmed) == 0,
-        "symbols": (size >= m - 1) & (count(SYMBOLS) > limits["symbols"] * many),
-        "upper": (size >= m - 1) & (count(CAPITALS) > limits["upper"] * letters),
-        "length": (size >= m - 1) & (many >= m) & ~length.between(limits["least_length"], limits["most_length"]),
-        "lines": (size >= m - 1) & (many >= m) & (F.size(F.array_distinct(lines)) < (1 - limits["repeated_lines"]) * F.size(lines)),
-        "repeats": (size >= m - 1) & (many >= m) & (distinct < limits["distinct_words"] * F.least(many, F.lit(limits["distinct_cap"]))),
-        "stop": (size >= limits["stop_from"] - 1) & (many >= limits["stop_from"]) & (stop < limits["stop_words"]),
+        "blank": lambda x: not x.text.strip(SPACES),
+        "symbols": symbols,
+        "upper": lambda x: x.capitals > 0 and x.spaces >= m - 1 and x.capitals > limits["upper"] * x.letters,
+        "length": lambda x: len(x.words) >= m and not limits["least_length"] <= (len(x.text) - x.spaces) / len(x.words) <= limits["most_length"],
+        "lines": lambda x: len(x.words) >= m and x.lines_repeat(limits["repeated_lines"]),
+        "repeats": lambda x: len(x.words) >= m and x.distinct_under(limits["distinct_words"] * min(len(x.words), limits["distinct_cap"])),
+        "stop": lambda x: len(x.words) >= limits["stop_from"] and x.stop_words_under(limits["stop_words"]),
     }
 
 
 def ranked(docs: DataFrame, text_col: str = "text", sample: int = 400, limits: dict = LIMITS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a sample, share rejected), by rejections per cost, most first. sample: rows that are read for it; they decide the order alone."""
-    spark = docs.sparkSession
-    rows = [(r[0],) for r in docs.select(docs[text_col].cast("string").alias("text")).filter("text is not null").take(sample)]
-    every = rules(F.col("text"), limits)
-    if not rows:
-        return [(k, 0.0, 0.0) for k in every]
-    some = spark.createDataFrame(rows, "text string").coalesce(1)
-
-    def timed(column: Column) -> tuple[float, int]:
-        took = []
-        for _ in range(2):  # the first compiles
-            began = time.perf_counter()
-            n = some.agg(F.count_if(column)).first()[0]
-            took.append(time.perf_counter() - began)
-        return min(took), n
-
-    base = timed(F.length("text") < 0)[0]
+    """(rule, seconds a document, share rejected), by rejections per cost, most first. sample: rows that are read for it; they decide the order alone."""
+    texts = [r[0] for r in docs.select(docs[text_col].cast("string")).filter(docs[text_col].isNotNull()).take(sample)]
     found = []
-    for name, column in every.items():
-        cost, n = timed(column)
-        found.append((name, max(cost - base, 1e-3), n / len(rows)))
+    for name, test in rules(limits).items():
+        began = time.perf_counter()
+        n = sum(test(Measures(t)) for t in texts)
+        found.append((name, (time.perf_counter() - began) / max(1, len(texts)), n / max(1, len(texts))))
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
 def fails(docs: DataFrame, text_col: str = "text", sample: int = 400, limits: dict = LIMITS, order: list[str] | None = None) -> Column:
     """True where any rule fails, tested in the order of ranked(), or in the given one."""
-    text = docs[text_col].cast("string")
-    every = rules(text, limits)
+    every = rules(limits)
     names = order or [x[0] for x in ranked(docs, text_col, sample, limits)]
-    return reduce(lambda a, b: a | b, (every[k] for k in names), text.isNull())
+
+    @F.arrow_udf("boolean")
+    def cascade(texts: pa.Array) -> pa.Array:
+        tests = [every[k] for k in names]
+        out = []
+        for t in texts.to_pylist():
+            x = None if t is None else Measures(t)
+            out.append(x is None or any(test(x) for test in tests))
+        return pa.array(out, pa.bool_())
+
+    return cascade(docs[text_col].cast("string"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", sample: int = 400, limits: dict = LIMITS, order: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import duckdb
 from compare import check, connect
 
 from loomgrid.llm import quality as Q
@@ -11,7 +12,7 @@ def test_same_as_sql(spark):
 
 def test_order_changes_nothing(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    names = list(Q.rules(docs.text))
+    names = list(Q.rules())
     ids = [{r.doc_id for r in Q.keep(docs, order=o).select("doc_id").collect()} for o in (names, names[::-1])]
     assert ids[0] == ids[1]
 
@@ -19,9 +20,9 @@ def test_order_changes_nothing(spark):
 def test_ranked_by_rejections_per_cost(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = Q.ranked(docs)
-    assert [x[2] / x[1] for x in got] == sorted((x[2] / x[1] for x in got), reverse=True) and {x[0] for x in got} == set(Q.rules(docs.text))
+    assert [x[2] / x[1] for x in got] == sorted((x[2] / x[1] for x in got), reverse=True) and {x[0] for x in got} == set(Q.rules())
     tied = Q.ranked(docs.filter("1 = 0"))
-    assert [x[0] for x in tied] == list(Q.rules(docs.text))
+    assert [x[0] for x in tied] == list(Q.rules())
 
 
 def test_awkward(awkward, nothing):
@@ -35,9 +36,17 @@ def test_awkward(awkward, nothing):
 def test_each_rule(spark):
     good = "The old mill stood by the river and the miller was glad of it in the spring"
     bad = {"symbols": "a # b # c # d # e # the of and", "upper": good.upper(), "length": " ".join("a" * 12), "lines": "\n".join(["the same line of it"] * 9), "repeats": "der " * 80, "stop": " ".join(f"xq{i}zzz" for i in range(60))}
-    docs = spark.createDataFrame([(0, good), *((i + 1, t) for i, t in enumerate(bad.values()))], "doc_id long, text string")
-    every = Q.rules(docs.text)
-    rows = docs.select("doc_id", *(c.alias(k) for k, c in every.items())).orderBy("doc_id").collect()
-    assert not any(rows[0][k] for k in every)
-    for name, row in zip(bad, rows[1:]):
-        assert row[name], name
+    every = Q.rules()
+    assert not any(test(Q.Measures(good)) for test in every.values())
+    for name, t in bad.items():
+        assert every[name](Q.Measures(t)), name
+
+
+def test_other_white_space_and_letters(spark):
+    """Vertical tabs, form feeds and no-break spaces don't part words; capitals beyond ASCII count."""
+    rows = [(1, "a\x0bb c\x0cd " * 30), (2, "ÄÖÜ ÉÈÊ " * 20), (3, "der Äpfel und die Öfen " * 3), (4, "x\u00a0y the of and z " * 15), (5, "\x0b"), (6, "|# " * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(r.doc_id for r in Q.keep(docs).collect()) == sorted(r[0] for r in con.execute(Q.sql(columns="doc_id")).fetchall())
