@@ -49,7 +49,9 @@ def case(key: Column, table: dict, default) -> Column:
 def scored(tasks: DataFrame) -> DataFrame:
     """loc, components, outside, hours, n_skills, complexity, pattern beside the task's columns (description, requirements, task_type)."""
     full = F.concat(F.lower("description"), F.lit(" "), F.lower(F.array_join("requirements", " ")))
-    t = tasks.withColumns({"loc": lines_of_code(F.col("description")), "components": F.greatest(F.lit(1), F.size("requirements")).cast("long"), "outside": outside_dependencies(F.col("requirements")), "risks": risks(full), "skills": skills(full)})
+    tasks = tasks.withColumn("__full", full)  # a column of its own, since some thirty tests read it
+    full = F.col("__full")
+    t = tasks.withColumns({"loc": lines_of_code(F.col("description")), "components": F.greatest(F.lit(1), F.size("requirements")).cast("long"), "outside": outside_dependencies(F.col("requirements")), "risks": risks(full), "skills": skills(full)}).drop("__full")
     t = t.withColumn("hours", F.round(case(F.col("task_type"), HOURS, 4).cast("double") * (1 + F.col("loc") / 5000 + F.col("outside") * 0.2), 6)).withColumn("n_skills", F.size("skills").cast("long"))
     level = reduce(lambda c, r: c.when((F.col("hours") <= r[1]) & (F.col("components") <= r[2]) & (F.col("n_skills") <= r[3]), r[0]), LEVELS, F).otherwise("enterprise")
     t = t.withColumn("complexity", level)
