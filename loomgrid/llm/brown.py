@@ -1,13 +1,21 @@
 """Perplexity under a class-based bigram model whose classes are found by exchange clustering.
 
-All words of the corpus are counted. The VOCABULARY most frequent ones are the words that exchange clustering moves
-among CLASSES classes; every other word is OTHER, a word in a class of its own, as is the text's edge. Bigrams of these words are counted
-over the whole corpus, in parallel; their table has at most (VOCABULARY + 2) squared places whatever the corpus, and one
-task sweeps over it, moving each word to the class that raises the likelihood of the class bigrams most, until few words move.
+All words of the corpus are counted, and every word has a class and a count of its own. The VOCABULARY most frequent ones are the
+words that exchange clustering moves among CLASSES classes: one task sweeps over the counts of their bigrams, moving each word to the class
+that raises the likelihood of the class bigrams most, until few words move. Meanwhile all other words are OTHER, a word in a class
+of its own, as is the text's edge. Then each of the others goes to the class under which its own neighbours, over the whole corpus, are
+likeliest. At last class bigrams are counted over the whole corpus, with the classes of all its words.
+
+Words beyond the most frequent ones are too many for a worker's memory. So texts are coded by slices: a slice holds numbers of its own
+and the list of the words that they stand for. Words with their neighbours' classes are shuffled once on the word, and what is found of each goes
+back to the slices that hold it by a second shuffle.
 
 P(word | before) = P(class | class before) * P(word | class). Class transitions are smoothed towards the classes' own
-shares by a Dirichlet prior; emissions are the words' shares of their class, plus ADDED; an OTHER word shares its class
-evenly with all other types that were counted and one that wasn't. The perplexity of a text is over its words and its closing edge.
+shares by a Dirichlet prior; emissions are the words' shares of their class, plus ADDED. The class OTHER is left to words that weren't
+counted. The perplexity of a text is over its words and its closing edge.
+
+`fit` and `scores` are the model of the most frequent words alone, which fits in memory and can score other texts: there all
+other words stay OTHER and share its class evenly with one that wasn't counted.
 
 Defined results: a null or empty text, or one without words, has 0 words, and null log-probability and perplexity; a null id is scored
 and kept; repeated rows are counted and scored one by one; ties in frequency go to the word first in byte order, ties
@@ -17,14 +25,16 @@ between classes to the lower class, and a word stays unless another class is bet
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import arrow_map, cut, pick, words
+from loomgrid.llm.common import arrow_map, cut, pick, slices, words
 
 VOCABULARY, CLASSES, SWEEPS, MOVED, PRIOR, ADDED = 4096, 64, 8, 0.002, 10.0, 0.5
 
@@ -85,6 +95,13 @@ def exchange(m: np.ndarray, fixed: int = 2, classes: int = CLASSES, sweeps: int
     return of
 
 
+def transitions(g: np.ndarray) -> np.ndarray:
+    """Log-probability of each class behind each class."""
+    into = g.sum(axis=0)
+    share = (into + ADDED) / (into.sum() + ADDED * len(g))
+    return np.log((g + PRIOR * share) / (g.sum(axis=1, keepdims=True) + PRIOR))
+
+
 class Model:
     """Ids: 0 up to the vocabulary's size for its words, then OTHER and the edge."""
 
@@ -96,9 +113,7 @@ class Model:
         size = np.bincount(of[: self.other], minlength=len(g)) if len(counts) else np.zeros(len(g))
         own = of[: self.other]
         self.emit = np.log(np.r_[(counts + ADDED) / (total[own] + ADDED * size[own]), 1 / (other_types + 1), 1.0])
-        into = g.sum(axis=0)
-        share = (into + ADDED) / (into.sum() + ADDED * len(g))
-        self.next = np.log((g + PRIOR * share) / (g.sum(axis=1, keepdims=True) + PRIOR))
+        self.next = transitions(g)
 
     def sequence(self, text: str | None) -> np.ndarray:
         """Ids of the text's words between two edges; empty for a text without words."""
@@ -134,18 +149,8 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return arrow_map(pick(docs, text=docs[text_col].cast("string")).filter("text is not null"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    unigrams = cut(counted(docs, text_col))
-    types, tokens = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = [(bytes(r["word"]), r["n"]) for r in unigrams.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
-    ids, size = {w: k for k, (w, _) in enumerate(top)}, len(top) + 2
-
-    def pairs(batch: pa.RecordBatch) -> dict:
-        parts = [s[:-1] * size + s[1:] for t in batch.column("text").to_pylist() if len(s := sequence(ids, t))]
-        keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
-        return {"pair": keys, "n": n}
-
-    bigrams = arrow_map(pick(docs, text=docs[text_col].cast("string")).filter("text is not null"), pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def clustered(bigrams: DataFrame, size: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Class of each word, counts of class bigrams, from pair, n: one task, over a table of at most size squared places."""
 
     def cluster(batches):
         m = np.zeros(size * size, np.int64)
@@ -159,10 +164,29 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, c
         yield pa.RecordBatch.from_arrays([pa.array([of.astype("<i8").tobytes()], pa.binary()), pa.array([g.astype("<f8").tobytes()], pa.binary())], ["classes", "counts"])
 
     row = bigrams.repartition(1).mapInArrow(cluster, "classes binary, counts binary").first()
+    if row is None:
+        return None
+    of = np.frombuffer(row["classes"], "<i8")
+    return of, np.frombuffer(row["counts"], "<f8").reshape(int(of.max()) + 1, -1)
+
+
+def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
+    unigrams = cut(counted(docs, text_col))
+    types, tokens = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = [(bytes(r["word"]), r["n"]) for r in unigrams.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    ids, size = {w: k for k, (w, _) in enumerate(top)}, len(top) + 2
+
+    def pairs(batch: pa.RecordBatch) -> dict:
+        parts = [s[:-1] * size + s[1:] for t in batch.column("text").to_pylist() if len(s := sequence(ids, t))]
+        keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
+        return {"pair": keys, "n": n}
+
+    bigrams = arrow_map(pick(docs, text=docs[text_col].cast("string")).filter("text is not null"), pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+    row = clustered(bigrams, size, classes, sweeps)
     if row is None:  # no documents
         return Model([], 0, 0, np.arange(2), np.zeros((2, 2)))
-    of = np.frombuffer(row["classes"], "<i8")
-    g = np.frombuffer(row["counts"], "<f8").reshape(int(of.max()) + 1, -1)
+    of, g = row
     return Model(top, tokens - sum(n for _, n in top), types - len(top), of, g)
 
 
@@ -176,6 +200,213 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return arrow_map(pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string")), run, "doc_id long, n_words long, log_prob double, perplexity double")
 
 
+class Numbers(dict):
+    """Words to numbers; a new word gets the next one."""
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+def pack(x: np.ndarray | bytes) -> bytes:
+    return pa.compress(x if isinstance(x, bytes) else x.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(x: bytes, size: int) -> bytes:
+    return pa.decompress(x, size, "zstd", asbytes=True)
+
+
+def coded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """A row a slice of doc_id, text: the texts' words as numbers, an edge before, between and behind the texts that have words.
+
+    Numbers are those of ids, then those of the slice's other words, `own` of them, joined by spaces in `words`; the last is the edge.
+    """
+    from pyspark import TaskContext
+
+    def run(batches):
+        k = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch):
+                numbers, rows = Numbers(ids), []
+                for t in part.column("text").to_pylist():
+                    w = words(t) if t else []
+                    rows.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
+                edge = np.full(1, len(numbers), np.int32)
+                flat = np.concatenate([edge, *(x for r in rows if len(r) for x in (r, edge))])
+                own = b" ".join(list(numbers)[len(ids) :])
+                columns = [[k], [len(numbers) - len(ids)], [len(own)], [pack(own)], [len(flat)], [pack(flat)], [part.column("doc_id").to_pylist()], [[len(r) for r in rows]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["slice", "own", "size", "words", "length", "flat", "doc_ids", "lengths"])
+                k += 1
+
+    return docs.mapInArrow(run, "slice long, own int, size long, words binary, length long, flat binary, doc_ids array<long>, lengths array<int>")
+
+
+def flats(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each slice the number of its own words, and its numbers."""
+    for own, length, flat in zip(*(batch.column(c).to_pylist() for c in ("own", "length", "flat"))):
+        yield own, np.frombuffer(unpack(flat, 4 * length), np.int32)
+
+
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by the key as tables that hold all rows of each of their keys."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        keys = table.column(key)
+        others = np.flatnonzero(pc.not_equal(keys, keys[-1]).to_numpy())
+        last = int(others[-1]) + 1 if len(others) else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def neighbours(slices_: DataFrame, of: np.ndarray) -> DataFrame:
+    """word, slice, place, around: of each of a slice's own words the classes before and behind it, as pairs of <u2, wherever it stands."""
+    frequent = len(of) - 2
+
+    def run(batches):
+        for batch in batches:
+            for k, size, own_words, (own, flat) in zip(batch.column("slice").to_pylist(), batch.column("size").to_pylist(), batch.column("words").to_pylist(), flats(batch)):
+                if not own:
+                    continue
+                c = np.r_[of[:frequent], np.full(own, of[frequent]), of[frequent + 1]].astype("<u2")[flat]
+                at = np.flatnonzero((flat >= frequent) & (flat < frequent + own))
+                place = flat[at] - frequent
+                at = at[np.argsort(place, kind="stable")]
+                around = np.stack([c[at - 1], c[at + 1]], axis=1)
+                offsets = np.r_[0, 4 * np.cumsum(np.bincount(place, minlength=own))].astype(np.int32)
+                around = pa.Array.from_buffers(pa.binary(), own, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(around.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(own_words, size).split(b" "), pa.binary()), pa.array(np.full(own, k)), pa.array(np.arange(own, dtype=np.int32)), around], ["word", "slice", "place", "around"])
+
+    return slices_.select("slice", "own", "size", "words", "length", "flat").mapInArrow(run, "word binary, slice long, place int, around binary")
+
+
+def assigned(around: DataFrame, g: np.ndarray) -> DataFrame:
+    """slice, place, class, n, counts: each word in the likeliest class for its neighbours. counts is true in one row a word."""
+    k, total = len(g) - 2, len(g)
+    # a class's likelihood of what is before its words and behind them, by classes
+    behind, before = transitions(g)[:k], transitions(g.T)[:k]
+
+    def run(batches):
+        for table in whole(batches, "word"):
+            w = table.column("word").combine_chunks()
+            new = np.r_[True, pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)]
+            word = np.cumsum(new) - 1
+            data = table.column("around").to_pylist()
+            pairs = np.frombuffer(b"".join(data), "<u2").reshape(-1, 2).astype(np.int64)
+            owner = np.repeat(word, [len(x) // 4 for x in data])
+            of, n = np.empty(word[-1] + 1, np.int32), np.bincount(owner)
+            for first in range(0, len(of), 1 << 14):
+                some = slice(*np.searchsorted(owner, [first, first + (1 << 14)]))
+                rows = min(len(of) - first, 1 << 14)
+                base = (owner[some] - first) * total
+                l, r = (np.bincount(base + pairs[some, side], minlength=rows * total).reshape(rows, total) for side in (0, 1))
+                of[first : first + rows] = np.argmax(l @ before.T + r @ behind.T, axis=1)
+            yield pa.RecordBatch.from_arrays([table.column("slice").combine_chunks(), table.column("place").combine_chunks(), pa.array(of[word]), pa.array(n[word]), pa.array(new)], ["slice", "place", "class", "n", "counts"])
+
+    return around.repartition("word").sortWithinPartitions("word", "slice").mapInArrow(run, "slice long, place int, class int, n long, counts boolean")
+
+
+def classified(slices_: DataFrame, found: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """A row a slice: the classes of its words, by text the sum of the logarithms of its words' counts, and what the slice adds to the
+    counts of class bigrams, and to the tokens and types of each class."""
+    frequent, total = len(of) - 2, int(of.max()) + 1
+    blank = {c: F.lit(None).cast(t).alias(c) for c, t in (("class", "int"), ("n", "long"), ("counts", "boolean"), ("own", "int"), ("length", "long"), ("flat", "binary"), ("doc_ids", "array<long>"), ("lengths", "array<int>"))}
+    kept, looked = ("own", "length", "flat", "doc_ids", "lengths"), ("class", "n", "counts")
+    rows = slices_.select("slice", F.lit(-1).alias("place"), *(blank[c] for c in looked), *kept).union(found.select("slice", "place", *looked, *(blank[c] for c in kept)))
+
+    def run(batches):
+        for table in whole(batches, "slice"):
+            keys = table.column("slice").to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                places = table.column("place").slice(a, b - a).to_numpy()
+                order = np.argsort(places)  # the slice itself has place -1
+                head = table.slice(a + int(order[0]), 1).combine_chunks().to_batches()[0]
+                rest = table.slice(a, b - a).select(looked).take(pa.array(order[1:]))
+                own, flat = next(flats(head))
+                assert rest.num_rows == own, "a word's class is missing"
+                lengths = np.array(head.column("lengths")[0].as_py(), np.int64)
+                tail, n = rest.column("class").to_numpy(), rest.column("n").to_numpy()
+                c = np.r_[of[:frequent], tail, of[frequent + 1]].astype(np.int64)[flat]
+                g = np.bincount(c[:-1] * total + c[1:], minlength=total * total)
+                mine = rest.column("counts").to_numpy()
+                tokens = np.bincount(tail[mine], n[mine], total) if own else np.zeros(total)
+                types = np.bincount(tail[mine], minlength=total) if own else np.zeros(total)
+                sums = np.zeros(len(lengths))
+                if (some := lengths > 0).any():
+                    logs = np.r_[np.log(counts + ADDED), np.log(n + ADDED), 0.0][flat]
+                    sums[some] = np.add.reduceat(logs, firsts(lengths[some]) + 1)
+                added = np.r_[g, tokens, types].astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [head.column("doc_ids"), head.column("lengths"), pa.array([sums.tolist()], pa.list_(pa.float64())), head.column("length"), pa.array([pack(c.astype("<u2"))], pa.binary()), pa.array([added], pa.binary())],
+                    ["doc_ids", "lengths", "sums", "length", "classes", "added"],
+                )
+
+    # by the slice alone Spark sorts by radix; with the place, rows of a slice would be compared one with another
+    return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "doc_ids array<long>, lengths array<int>, sums array<double>, length long, classes binary, added binary")
+
+
+def firsts(lengths: np.ndarray) -> np.ndarray:
+    """Where the edges before texts of such lengths are."""
+    return np.cumsum(lengths + 1) - (lengths + 1)
+
+
+def added(rows: DataFrame) -> np.ndarray | None:
+    """The sum of what the slices add."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            for x in batch.column("added").to_pylist():
+                total = total + np.frombuffer(x, "<f8")
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["added"])
+
+    row = rows.select("added").mapInArrow(run, "added binary").repartition(1).mapInArrow(run, "added binary").first()
+    return None if row is None else np.frombuffer(row["added"], "<f8")
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+    """doc_id, n_words, log_prob, perplexity of every document, under the model of all words of all documents. vocabulary: words that are moved by exchange."""
+    top = [(bytes(r["word"]), r["n"]) for r in counted(docs, text_col).orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    counts, size = np.array([n for _, n in top], float), len(top) + 2
+    texts = cut(coded(pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string")), {w: k for k, (w, _) in enumerate(top)}))
+
+    def pairs(batches):
+        for batch in batches:
+            for own, flat in flats(batch):
+                s = np.r_[np.arange(size - 2), np.full(own, size - 2), size - 1][flat]
+                keys, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
+
+    row = clustered(texts.select("own", "length", "flat").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), size, classes, sweeps)
+    of, g = row or (np.arange(2), np.zeros((2, 2)))
+    rows = cut(classified(texts, assigned(neighbours(texts, of), g), of, counts))
+    k, sums = len(g), added(rows)
+    if sums is None:  # no documents
+        sums = np.zeros(k * k + 2 * k)
+    tokens, types = (sums[k * k + j * k : k * k + (j + 1) * k] + np.bincount(of[:-2], x, k) for j, x in ((0, counts), (1, np.ones(size - 2))))
+    # of a class without words the share is 1, as of the edge's and of OTHER's
+    step = transitions(sums[: k * k].reshape(k, k)) - np.where(types > 0, np.log(np.maximum(tokens + ADDED * types, ADDED)), 0.0)
+
+    def run(batches):
+        for batch in batches:
+            for ids, lengths, logs, length, c in zip(*(batch.column(x).to_pylist() for x in ("doc_ids", "lengths", "sums", "length", "classes"))):
+                lengths, p = np.array(lengths, np.int64), np.array(logs)
+                c = np.frombuffer(unpack(c, 2 * length), "<u2")
+                some = lengths > 0
+                if some.any():
+                    p[some] += np.add.reduceat(step[c[:-1], c[1:]], firsts(lengths[some]))
+                x = np.exp(np.minimum(700.0, -p / (lengths + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), pa.array(p, mask=~some), pa.array(x, mask=~some)], ["doc_id", "n_words", "log_prob", "perplexity"])
+
+    return rows.select("doc_ids", "lengths", "sums", "length", "classes").mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scores(docs, fit(docs))
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
