@@ -177,8 +177,9 @@ class Finder:
             elif what == "ip":
                 got = ip(t, i)
             elif what == "phone":
-                got = phone(t, i)
-                tried = i + 1 if got is None else tried
+                got, tried = phone(t, i), i + 1
+                other = digits(t, i + 1)  # an account number may begin at the sign, and be longer than a phone number
+                got = other if other and (got is None or other[1] > got[1]) else got
             else:
                 a = i
                 while a > 0 and t[a - 1] in DIGITS and i - a < REACH["number"]:

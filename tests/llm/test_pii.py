@@ -29,6 +29,14 @@ def test_accounts():
     assert kinds("+1 (826) 555-4081 190.137.223.204") == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]
 
 
+def test_numbers_behind_signs():
+    for sign in "+(":
+        for kind, x in (("account", "4111 1111 1111 1111"), ("account", "4111111111111111"), ("ssn", "078-05-1120"), ("phone", "415-555-2671")):
+            want = ("phone", sign + x) if sign == "+" and kind != "account" else (kind, x)  # with a plus, both are phone numbers
+            assert kinds(f"at {sign}{x}) and on") == [want], (sign, x)
+    assert kinds("(4111 1111 1111 1112) (2) +1 (826) 555-4081") == [("phone", "+1 (826) 555-4081")]
+
+
 def test_secrets():
     assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN = "04DBEBAB91AB85687D33EEAA"') == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("secret", "04DBEBAB91AB85687D33EEAA")]
     assert kinds("a token of thanks, the secretariat, password: short1") == []
