@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.common import arrow_map, pick
 
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth_key", "bearer")
+CUES = ("token", "secret", "password", "passwd", "key", "bearer", "iban")
+#: What may stand before "key" in a word that is written in one, as apikey; other words that end so, as monkey, are no cues.
+BEFORE_KEY = ("", "api", "access", "private", "auth", "secret", "encryption", "signing", "account", "master", "session", "client", "ssh")
+#: Words of an identifier: parted by case, _, - or digits.
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+IDENTIFIER = re.compile(r"[\w-]*")
+LOWER = {c: c + 32 for c in range(65, 91)}
 ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 LOCAL, LABEL, DIGITS = set("._%+-"), set(ASCII + "-"), set("0123456789")
 #: Longest that a parser looks to a side; no valid address, number or secret is longer (RFC 5321, ISO 7812, ISO 13616, E.164).
@@ -42,7 +48,7 @@ def anchors() -> dict[str, str]:
     out = {"@": "at", "://": "scheme"}
     out |= {f"{a}{b}": "number" for a in "0123456789" for b in "0123456789"} | {f"{a}.{b}": "ip" for a in "0123456789" for b in "0123456789"}
     out |= {f"{p}{d}": "phone" for p in "+(" for d in "0123456789"}
-    return out | {x: "cue" for c in CUES for x in (c, c.upper(), c.capitalize())}
+    return out | dict.fromkeys(CUES, "cue")
 
 
 def luhn(digits: str) -> bool:
@@ -139,11 +145,28 @@ def url(t: str, i: int) -> tuple[int, int, str] | None:
     return (a, m.end(), "url") if m and URL_SECRET.search(m.group()) else None
 
 
-def secret(t: str, i: int, end: int) -> tuple[int, int, str] | None:
-    """The value behind a cue that ends before `end`: at least 16 characters, letters and digits among them."""
+def cue(part: str) -> bool:
+    """A word of an identifier says that a secret follows."""
+    part = part.lower()
+    part = part.removesuffix("s")
+    return part.endswith(("token", "secret", "password", "passwd")) or part in ("bearer", "iban") or part.endswith("key") and part[:-3] in BEFORE_KEY
+
+
+def identifier(t: str, i: int) -> tuple[int, int]:
+    """The letters, digits, _ and - around i."""
+    a = i
+    while a > 0 and (word(t[a - 1]) or t[a - 1] == "-"):
+        a -= 1
+    return a, IDENTIFIER.match(t, i).end()
+
+
+def secret(t: str, a: int, end: int) -> tuple[int, int, str] | None:
+    """The value behind the identifier from a to end, if a word of it is a cue: at least 16 characters, letters and digits among them."""
     m = SECRET.match(t, end)
-    if not m or i > 0 and t[i - 1].isalpha():
+    if not m or not any(map(cue, PARTS.findall(t, a, end))):
         return None
+    if got := iban(t, m.start(1) + 2):
+        return got
     v = m[1].rstrip(".=-") if not m[1].endswith("=") else m[1]
     return (m.start(1), m.start(1) + len(v), "secret") if len(v) >= 16 and any(c in DIGITS for c in v) and any(c.isalpha() for c in v) else None
 
@@ -163,8 +186,11 @@ class Finder:
         """Sorted (start, end, kind), none overlapping."""
         if not t:
             return []
-        spans, done, tried = [], 0, -1
-        for last, (size, what) in self.a.iter(t):
+        spans, done, tried, judged = [], 0, -1, 0
+        folded = t.lower()
+        if len(folded) != len(t):  # some letters get longer
+            folded = t.translate(LOWER)
+        for last, (size, what) in self.a.iter(folded):
             i = last - size + 1
             if last < done:
                 continue
@@ -173,7 +199,10 @@ class Finder:
             elif what == "scheme":
                 got = url(t, i)
             elif what == "cue":
-                got = secret(t, i, last + 1)
+                if i < judged:
+                    continue
+                a, judged = identifier(t, i)
+                got = secret(t, a, judged)
             elif what == "ip":
                 got = ip(t, i)
             elif what == "phone":

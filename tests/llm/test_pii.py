@@ -42,6 +42,16 @@ def test_secrets():
     assert kinds("a token of thanks, the secretariat, password: short1") == []
 
 
+def test_cues_are_whole_identifiers():
+    x = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for cue in ("key", "secret_key", "apiKey", "Api_Key", "accessToken", "authToken", "APIKey", "aws_secret_access_key", "X-Api-Key", "DB_PASSWORD_2", "iban", "mytoken", "tokens"):
+        for behind in (f' = "{x}"', f"={x}", f": '{x}'", f'": "{x}"'):
+            assert kinds(f"\u0130 {cue}{behind};") == [("secret", x)], (cue, behind)
+    for cue in ("monkey", "keyboard", "secretariat", "tokenizer", "turkey", "hash"):
+        assert kinds(f'{cue} = "{x}"') == []
+    assert kinds("IBAN: GB82WEST12345698765432") == [("iban", "GB82WEST12345698765432")]
+
+
 def test_clean_prose():
     assert kinds("In 1999, 4.0 of 100 (2) pages; see section 12.3 and 2024-01-31, 10:30, GPL version 3.0.1 + 2.") == []
 
