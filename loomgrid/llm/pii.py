@@ -30,8 +30,8 @@ IDENTIFIER = re.compile(r"[\w-]*")
 LOWER = {c: c + 32 for c in range(65, 91)}
 ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 LOCAL, LABEL, DIGITS = set("._%+-"), set(ASCII + "-"), set("0123456789")
-#: Longest that a parser looks to a side; no valid address, number or secret is longer (RFC 5321, ISO 7812, ISO 13616, E.164).
-REACH = {"local": 64, "domain": 255, "number": 40, "iban": 45, "secret": 4096, "url": 4096}
+#: Longest that a parser looks to a side; no valid address or number is longer (RFC 5321, ISO 7812, ISO 13616, E.164). URLs and secrets are read to their end.
+REACH = {"local": 64, "domain": 255, "number": 40, "iban": 45}
 SECRET = re.compile(r"""(?:["']?\s*[:=]\s*|\s+)["']?([A-Za-z0-9_\-+/=.]{16,})""")
 URL = re.compile(r"[^\s\"'<>`{}|\\^]+")
 USERINFO = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*)://[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[^\s/\"'<>]+")
@@ -135,14 +135,16 @@ def phone(t: str, i: int) -> tuple[int, int, str] | None:
     return None
 
 
-def url(t: str, i: int) -> tuple[int, int, str] | None:
+def url(t: str, i: int, plain: int) -> tuple[tuple[int, int, str] | None, int]:
+    """A URL with credentials or a secret; where URLs without a secret end, which are read once: it was `plain` before."""
     a = i
     while a > 0 and i - a < 32 and (t[a - 1] in LABEL or t[a - 1] in "+."):
         a -= 1
     if m := USERINFO.match(t, a):
-        return a, m.end(), "url"
-    m = URL.match(t, a, min(len(t), a + REACH["url"]))
-    return (a, m.end(), "url") if m and URL_SECRET.search(m.group()) else None
+        return (a, m.end(), "url"), plain
+    if i < plain or not (m := URL.match(t, a)):
+        return None, plain
+    return ((a, m.end(), "url"), plain) if URL_SECRET.search(m.group()) else (None, m.end())
 
 
 def cue(part: str) -> bool:
@@ -186,7 +188,7 @@ class Finder:
         """Sorted (start, end, kind), none overlapping."""
         if not t:
             return []
-        spans, done, tried, judged = [], 0, -1, 0
+        spans, done, tried, judged, plain = [], 0, -1, 0, 0
         folded = t.lower()
         if len(folded) != len(t):  # some letters get longer
             folded = t.translate(LOWER)
@@ -197,7 +199,7 @@ class Finder:
             if what == "at":
                 got = email(t, i)
             elif what == "scheme":
-                got = url(t, i)
+                got, plain = url(t, i, plain)
             elif what == "cue":
                 if i < judged:
                     continue

@@ -20,6 +20,14 @@ def test_addresses():
     assert kinds("ftp://u:p@h.com/x https://a.b/c https://a.b/c?x=1&token=abcdefgh1234") == [("url", "ftp://u:p@h.com"), ("url", "https://a.b/c?x=1&token=abcdefgh1234")]
 
 
+def test_long_urls_are_read_to_their_end():
+    for n in (4060, 4075, 4100, 50_000):
+        x = f"https://a.b/{'c' * n}?x=1&sig=abcdefgh1234&y={'d' * 5000}"
+        assert kinds(f"see {x} there") == [("url", x)]
+    assert kinds("http://a.b/" * 20_000) == []
+    assert kinds("http://a.b/http://u:p@h.com/x") == [("url", "http://u:p@h.com")]
+
+
 def test_accounts():
     assert kinds("4111 1111 1111 1111 4111111111111111 4111-1111-1111-1112") == [("account", "4111 1111 1111 1111"), ("account", "4111111111111111")]
     assert kinds("number 9807915762804490") == []  # fails its check digit
