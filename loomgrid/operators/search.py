@@ -45,6 +45,15 @@ def size_within(kind: Column, size: Column, least: int | None = None, most: int
     return (kind != "file") | ok
 
 
+#: Bytes of the largest file whose content is searched, unless another limit is given.
+MOST_BYTES = 10_485_760
+
+
+def searched(text: Column, most: int = MOST_BYTES) -> Column:
+    """The file is small enough to be searched."""
+    return F.octet_length(text) <= most
+
+
 def hidden(path: Column) -> Column:
     """Some part of the path begins with a dot."""
     return F.exists(F.split(path, "/"), lambda p: p.startswith(".") & ~p.isin(".", ".."))

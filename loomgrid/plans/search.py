@@ -66,6 +66,12 @@ def regex_search(t: Tables) -> DataFrame:
     return S.search(d, "[0-9]{3}-[0-9]{4}", "doc_id", regex=True, keep=d.n_chars <= 4000).select("file", "line_number")
 
 
+@query("p08_regex_search_default_limit", "P-08 P-02", f"with {LINES} select doc_id as file, cast(i as bigint) as line_number from lines join documents using (doc_id) where strlen(text) <= {S.MOST_BYTES} and regexp_matches(line, '[0-9]{{3}}-[0-9]{{4}}')")
+def regex_search_default_limit(t: Tables) -> DataFrame:
+    d = t.documents
+    return S.search(d, "[0-9]{3}-[0-9]{4}", "doc_id", regex=True, keep=S.searched(d.text)).select("file", "line_number")
+
+
 @query("w01_context_lines", "W-01", f"with {LINES} select doc_id as file, cast(i as bigint) as line_number, {CTX.format(n=2)} as context from lines where contains(line, 'token')")
 def context_lines(t: Tables) -> DataFrame:
     found = S.search(t.documents, "token", "doc_id", context=2)

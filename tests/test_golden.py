@@ -99,3 +99,14 @@ def test_user_queries(spark):
     with pytest.raises(ValueError):
         reg.add("upto")(upto)
     assert spark.range(4).filter(safe_predicate(lambda x: 6 // x > 2, "id")).count() == 2
+
+
+def test_search_size_limit(spark, tmp_path):
+    from loomgrid.plans.catalogue import QUERIES
+
+    rows = [(1, "555-1234", 8), (2, "é 555-1234", 10), (3, "x" * 5000 + "\n555-1234", 5009), (4, "555-1234\n" + "x" * search.MOST_BYTES, search.MOST_BYTES + 9), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert [r.file for r in search.search(docs, "[0-9]{3}-", "doc_id", regex=True, keep=search.searched(docs.text, 10)).collect()] == [1]  # é has two bytes
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["p08_regex_search_default_limit"](spark, str(tmp_path))
+    assert sorted((r.file, r.line_number) for r in got.collect()) == [(1, 1), (2, 1), (3, 2)]
