@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import arrow_map, cut, pick, slices, words
 
 VOCABULARY, CLASSES, SWEEPS, MOVED, PRIOR, ADDED = 4096, 64, 8, 0.002, 10.0, 0.5
+#: Rows of a slice at most, beside the bytes that bound it; bytes of words with their neighbours that are judged at a time, about.
+SLICE_ROWS, TOGETHER = 10_000, 32 << 20
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -216,8 +218,25 @@ def unpack(x: bytes, size: int) -> bytes:
     return pa.decompress(x, size, "zstd", asbytes=True)
 
 
+#: What is found of a word in a slice: its number among the slice's own words, its class, its count, and whether this row counts it.
+FOUND = np.dtype([("place", "<i4"), ("class", "<u2"), ("n", "<i8"), ("counts", "?")])
+
+
+def sealed(row: dict[str, pa.Array]) -> bytes:
+    """One row in one value, so that a shuffle and the way to Python carry two columns, whatever a slice holds."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(list(row.values()), list(row))
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(x: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(x).read_next_batch()
+
+
 def coded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """A row a slice of doc_id, text: the texts' words as numbers, an edge before, between and behind the texts that have words.
+    """slice, data of doc_id, text: the texts' words as numbers, an edge before, between and behind the texts that have words.
 
     Numbers are those of ids, then those of the slice's other words, `own` of them, joined by spaces in `words`; the last is the edge.
     """
@@ -226,7 +245,7 @@ def coded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
     def run(batches):
         k = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=SLICE_ROWS):
                 numbers, rows = Numbers(ids), []
                 for t in part.column("text").to_pylist():
                     w = words(t) if t else []
@@ -234,17 +253,25 @@ def coded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
                 edge = np.full(1, len(numbers), np.int32)
                 flat = np.concatenate([edge, *(x for r in rows if len(r) for x in (r, edge))])
                 own = b" ".join(list(numbers)[len(ids) :])
-                columns = [[k], [len(numbers) - len(ids)], [len(own)], [pack(own)], [len(flat)], [pack(flat)], [part.column("doc_id").to_pylist()], [[len(r) for r in rows]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["slice", "own", "size", "words", "length", "flat", "doc_ids", "lengths"])
+                row = {
+                    "own": pa.array([len(numbers) - len(ids)], pa.int32()),
+                    "size": pa.array([len(own)], pa.int64()),
+                    "words": pa.array([pack(own)], pa.binary()),
+                    "length": pa.array([len(flat)], pa.int64()),
+                    "flat": pa.array([pack(flat)], pa.binary()),
+                    "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "lengths": pa.array([[len(r) for r in rows]], pa.list_(pa.int32())),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sealed(row)], pa.binary())], ["slice", "data"])
                 k += 1
 
-    return docs.mapInArrow(run, "slice long, own int, size long, words binary, length long, flat binary, doc_ids array<long>, lengths array<int>")
+    return docs.mapInArrow(run, "slice long, data binary")
 
 
-def flats(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each slice the number of its own words, and its numbers."""
-    for own, length, flat in zip(*(batch.column(c).to_pylist() for c in ("own", "length", "flat"))):
-        yield own, np.frombuffer(unpack(flat, 4 * length), np.int32)
+def read(row: pa.RecordBatch) -> tuple[int, np.ndarray]:
+    """Of a slice the number of its own words, and its numbers."""
+    own, length, flat = (row.column(c)[0].as_py() for c in ("own", "length", "flat"))
+    return own, np.frombuffer(unpack(flat, 4 * length), np.int32)
 
 
 def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -270,7 +297,9 @@ def neighbours(slices_: DataFrame, of: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, size, own_words, (own, flat) in zip(batch.column("slice").to_pylist(), batch.column("size").to_pylist(), batch.column("words").to_pylist(), flats(batch)):
+            for k, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist()):
+                row = opened(data)
+                own, flat = read(row)
                 if not own:
                     continue
                 c = np.r_[of[:frequent], np.full(own, of[frequent]), of[frequent + 1]].astype("<u2")[flat]
@@ -280,61 +309,78 @@ def neighbours(slices_: DataFrame, of: np.ndarray) -> DataFrame:
                 around = np.stack([c[at - 1], c[at + 1]], axis=1)
                 offsets = np.r_[0, 4 * np.cumsum(np.bincount(place, minlength=own))].astype(np.int32)
                 around = pa.Array.from_buffers(pa.binary(), own, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(around.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(own_words, size).split(b" "), pa.binary()), pa.array(np.full(own, k)), pa.array(np.arange(own, dtype=np.int32)), around], ["word", "slice", "place", "around"])
+                own_words = unpack(row.column("words")[0].as_py(), row.column("size")[0].as_py()).split(b" ")
+                yield pa.RecordBatch.from_arrays([pa.array(own_words, pa.binary()), pa.array(np.full(own, k)), pa.array(np.arange(own, dtype=np.int32)), around], ["word", "slice", "place", "around"])
 
-    return slices_.select("slice", "own", "size", "words", "length", "flat").mapInArrow(run, "word binary, slice long, place int, around binary")
+    return slices_.mapInArrow(run, "word binary, slice long, place int, around binary")
 
 
 def assigned(around: DataFrame, g: np.ndarray) -> DataFrame:
-    """slice, place, class, n, counts: each word in the likeliest class for its neighbours. counts is true in one row a word."""
+    """slice, data: each word in the likeliest class for its neighbours; data are rows of FOUND, of as many words of the slice as one table held."""
     k, total = len(g) - 2, len(g)
     # a class's likelihood of what is before its words and behind them, by classes
     behind, before = transitions(g)[:k], transitions(g.T)[:k]
 
+    def judged(table: pa.Table) -> pa.RecordBatch:
+        w = table.column("word").combine_chunks()
+        new = np.r_[True, pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)]
+        word = np.cumsum(new) - 1
+        data = table.column("around").to_pylist()
+        pairs = np.frombuffer(b"".join(data), "<u2").reshape(-1, 2).astype(np.int64)
+        owner = np.repeat(word, [len(x) // 4 for x in data])
+        of, n = np.empty(word[-1] + 1, np.int32), np.bincount(owner)
+        for first in range(0, len(of), 1 << 14):
+            some = slice(*np.searchsorted(owner, [first, first + (1 << 14)]))
+            rows = min(len(of) - first, 1 << 14)
+            base = (owner[some] - first) * total
+            l, r = (np.bincount(base + pairs[some, side], minlength=rows * total).reshape(rows, total) for side in (0, 1))
+            of[first : first + rows] = np.argmax(l @ before.T + r @ behind.T, axis=1)
+        out = np.empty(len(word), FOUND)
+        out["place"], out["class"], out["n"], out["counts"] = table.column("place").to_numpy(), of[word], n[word], new
+        keys = table.column("slice").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        offsets = (np.r_[starts, len(keys)] * FOUND.itemsize).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out[order].tobytes())])], ["slice", "data"])
+
     def run(batches):
+        held, size = [], 0
         for table in whole(batches, "word"):
-            w = table.column("word").combine_chunks()
-            new = np.r_[True, pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)]
-            word = np.cumsum(new) - 1
-            data = table.column("around").to_pylist()
-            pairs = np.frombuffer(b"".join(data), "<u2").reshape(-1, 2).astype(np.int64)
-            owner = np.repeat(word, [len(x) // 4 for x in data])
-            of, n = np.empty(word[-1] + 1, np.int32), np.bincount(owner)
-            for first in range(0, len(of), 1 << 14):
-                some = slice(*np.searchsorted(owner, [first, first + (1 << 14)]))
-                rows = min(len(of) - first, 1 << 14)
-                base = (owner[some] - first) * total
-                l, r = (np.bincount(base + pairs[some, side], minlength=rows * total).reshape(rows, total) for side in (0, 1))
-                of[first : first + rows] = np.argmax(l @ before.T + r @ behind.T, axis=1)
-            yield pa.RecordBatch.from_arrays([table.column("slice").combine_chunks(), table.column("place").combine_chunks(), pa.array(of[word]), pa.array(n[word]), pa.array(new)], ["slice", "place", "class", "n", "counts"])
-
-    return around.repartition("word").sortWithinPartitions("word", "slice").mapInArrow(run, "slice long, place int, class int, n long, counts boolean")
+            held.append(table)
+            size += table.nbytes
+            if size > TOGETHER:
+                yield judged(pa.concat_tables(held))
+                held, size = [], 0
+        if held:
+            yield judged(pa.concat_tables(held))
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, "slice long, data binary")
 
 
 def classified(slices_: DataFrame, found: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFrame:
     """A row a slice: the classes of its words, by text the sum of the logarithms of its words' counts, and what the slice adds to the
     counts of class bigrams, and to the tokens and types of each class."""
     frequent, total = len(of) - 2, int(of.max()) + 1
-    blank = {c: F.lit(None).cast(t).alias(c) for c, t in (("class", "int"), ("n", "long"), ("counts", "boolean"), ("own", "int"), ("length", "long"), ("flat", "binary"), ("doc_ids", "array<long>"), ("lengths", "array<int>"))}
-    kept, looked = ("own", "length", "flat", "doc_ids", "lengths"), ("class", "n", "counts")
-    rows = slices_.select("slice", F.lit(-1).alias("place"), *(blank[c] for c in looked), *kept).union(found.select("slice", "place", *looked, *(blank[c] for c in kept)))
+    rows = slices_.select("slice", F.lit(True).alias("whole"), "data").union(found.select("slice", F.lit(False), "data"))
 
     def run(batches):
         for table in whole(batches, "slice"):
             keys = table.column("slice").to_numpy()
+            data, head = table.column("data").combine_chunks(), table.column("whole").to_numpy()
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
-                places = table.column("place").slice(a, b - a).to_numpy()
-                order = np.argsort(places)  # the slice itself has place -1
-                head = table.slice(a + int(order[0]), 1).combine_chunks().to_batches()[0]
-                rest = table.slice(a, b - a).select(looked).take(pa.array(order[1:]))
-                own, flat = next(flats(head))
-                assert rest.num_rows == own, "a word's class is missing"
-                lengths = np.array(head.column("lengths")[0].as_py(), np.int64)
-                tail, n = rest.column("class").to_numpy(), rest.column("n").to_numpy()
+                h = a + int(np.flatnonzero(head[a:b])[0])
+                row = opened(data[h].as_py())
+                own, flat = read(row)
+                rest = np.frombuffer(b"".join(data.slice(a, h - a).to_pylist() + data.slice(h + 1, b - h - 1).to_pylist()), FOUND)
+                rest = rest[np.argsort(rest["place"])]
+                assert np.array_equal(rest["place"], np.arange(own)), "a word's class is missing"
+                lengths = row.column("lengths")[0].values.to_numpy().astype(np.int64)
+                tail, n = rest["class"].astype(np.int64), rest["n"]
                 c = np.r_[of[:frequent], tail, of[frequent + 1]].astype(np.int64)[flat]
                 g = np.bincount(c[:-1] * total + c[1:], minlength=total * total)
-                mine = rest.column("counts").to_numpy()
+                mine = rest["counts"]
                 tokens = np.bincount(tail[mine], n[mine], total) if own else np.zeros(total)
                 types = np.bincount(tail[mine], minlength=total) if own else np.zeros(total)
                 sums = np.zeros(len(lengths))
@@ -343,11 +389,10 @@ def classified(slices_: DataFrame, found: DataFrame, of: np.ndarray, counts: np.
                     sums[some] = np.add.reduceat(logs, firsts(lengths[some]) + 1)
                 added = np.r_[g, tokens, types].astype("<f8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [head.column("doc_ids"), head.column("lengths"), pa.array([sums.tolist()], pa.list_(pa.float64())), head.column("length"), pa.array([pack(c.astype("<u2"))], pa.binary()), pa.array([added], pa.binary())],
+                    [row.column("doc_ids"), row.column("lengths"), pa.array([sums.tolist()], pa.list_(pa.float64())), row.column("length"), pa.array([pack(c.astype("<u2"))], pa.binary()), pa.array([added], pa.binary())],
                     ["doc_ids", "lengths", "sums", "length", "classes", "added"],
                 )
 
-    # by the slice alone Spark sorts by radix; with the place, rows of a slice would be compared one with another
     return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "doc_ids array<long>, lengths array<int>, sums array<double>, length long, classes binary, added binary")
 
 
@@ -379,12 +424,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def pairs(batches):
         for batch in batches:
-            for own, flat in flats(batch):
+            for own, flat in map(read, map(opened, batch.column("data").to_pylist())):
                 s = np.r_[np.arange(size - 2), np.full(own, size - 2), size - 1][flat]
                 keys, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
 
-    row = clustered(texts.select("own", "length", "flat").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), size, classes, sweeps)
+    row = clustered(texts.select("data").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), size, classes, sweeps)
     of, g = row or (np.arange(2), np.zeros((2, 2)))
     rows = cut(classified(texts, assigned(neighbours(texts, of), g), of, counts))
     k, sums = len(g), added(rows)

@@ -33,8 +33,8 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*((df[c] if isinstance(c, str) else c).alias(k) for k, c in columns.items()))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes of text; a longer text is a slice of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and about BATCH_BYTES bytes of text; a longer text is a slice of its own."""
     import pyarrow.compute as pc
 
     n = batch.num_rows
@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
     for i, x in enumerate(lengths):
-        if i > start and (size + x > BATCH_BYTES or i - start >= BATCH_ROWS):
+        if i > start and (size + x > BATCH_BYTES or i - start >= rows):
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += x
