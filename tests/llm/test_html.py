@@ -1,3 +1,9 @@
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from compare import check, connect
 
 from loomgrid.llm import html_extract as H
@@ -39,10 +45,39 @@ def page(body):
 
 def test_markup():
     body = f"<nav><ul><li><a href='/a>b'>Home</a></li></ul></nav><!-- <p>{LONG}</p> --><article><h1>Head &amp; more</h1><p>{LONG}<b>bold</b> &lt;i&gt;<br>{LONG}<p title=\"a>b\">{LONG}</article><footer>(c) x</footer>"
-    text = H.kept(H.lines(page(body), H.steps()))
+    text = H.kept(H.lines(page(body)))
     assert text == ["Head & more", LONG + "bold <i>", LONG.strip(), LONG.strip()]
 
 
+def by_expressions(html, width=H.WIDTH):
+    import html as entities
+    import re
+
+    for p, r in H.STEPS:
+        html = re.sub(p, "\n" * (width + 1) if len(r) > 1 else r, html)
+    return [x.strip(H.SPACE) for x in entities.unescape(html).split("\n")]
+
+
+PIECES = ["<!--", "-->", "<script", "<SCRIPT>", "</script >", "</script", "<head>", "</head>", "<p", "</p>", "<div ", "<div/>", "<td\n", "<a href=", "<b>", "<!x", "<?", "<1", ">", '"', "'", "/", " ", "\n", "text", "&amp;", "&lt;", "é", "<"]
+
+
+@settings(deadline=None, max_examples=1500)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+def test_scanner_same_as_expressions(html):
+    assert H.lines(html) == by_expressions(html)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script>", "<script", "<a \"", "<a '\"", "<p \"x'", "<div ", "</script   ", "<svg><a \"'>", "&#9", "&", "<"])
+def test_malformed_pages_take_time_in_proportion(piece):
+    began = time.perf_counter()
+    H.kept(H.lines(piece * ((1 << 20) // len(piece))))
+    assert time.perf_counter() - began < 5  # an expression took hours
+
+
+def test_numbers_beyond_characters():
+    assert H.lines("&#" + "9" * 6000 + ";&#" + "0" * 5000 + "65;&#x" + "f" * 6000 + ";&#0;&#00000000;") == ["\ufffdA\ufffd\ufffd\ufffd"]
+
+
 def test_awkward(spark):
     rows = [(1, None), (2, ""), (3, "  \n "), (None, page(f"<p>{LONG}</p>")), (4, page(f"<p>{LONG}</p>" * 5000)), (5, "<p>" + LONG), (5, "<p>" + LONG), (6, LONG + "<unclosed"), (7, "<script>" + LONG), (8, page("<p>short</p>"))]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, html string, text string, n_lines int")
