@@ -1,18 +1,20 @@
 """Private data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, schemes, identifier cues (token, key, password, iban, ...), and the
-starts of numbers (two digits, digit-dot-digit, plus-digit, bracket-digit). At each anchor a deterministic parser
+An Aho-Corasick automaton finds anchors: at-signs, schemes, identifier cues (token, key, password, bearer, ...), cues of
+numbers (account, routing, passport, ssn, iban), and the starts of numbers and network addresses (two digits,
+digit-dot-digit, plus-digit, bracket-digit, hexadecimal groups at colons). At each anchor a deterministic parser
 expands to the boundaries of an e-mail or network address, an account or phone number, a secret or a URL with
-credentials, and validates it (labels of a domain, octets, Luhn and mod-97 check digits, digit counts). The leftmost
-anchor wins, and spans never overlap. Numbers that fail their check are left alone.
+credentials, and validates it (labels of a domain, octets and groups, Luhn, mod-97 and routing check digits, digit counts). The leftmost
+anchor wins, and spans never overlap. Numbers that fail their check are left alone, unless a cue names them.
 
 Defined results: a null, empty or blank text has no spans; offsets count characters of the text as given; a null id is
-kept; repeated rows give repeated spans; texts are scanned whole; an empty table gives an empty table; other columns are
+kept; repeated rows give repeated spans; texts are scanned whole, and addresses, URLs and secrets are read to their ends, however long; an empty table gives an empty table; other columns are
 ignored by `find` and returned unchanged by `redact`, whatever their names.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import arrow_map, pick
 
 CUES = ("token", "secret", "password", "passwd", "key", "bearer", "iban")
+#: Cues of numbers -> the kind of what follows.
+NAMED = {"account": "account", "acct": "account", "routing": "routing", "passport": "passport", "ssn": "ssn", "social security": "ssn"}
 #: What may stand before "key" in a word that is written in one, as apikey; other words that end so, as monkey, are no cues.
 BEFORE_KEY = ("", "api", "access", "private", "auth", "secret", "encryption", "signing", "account", "master", "session", "client", "ssh")
 #: Words of an identifier: parted by case, _, - or digits.
@@ -30,8 +34,9 @@ IDENTIFIER = re.compile(r"[\w-]*")
 LOWER = {c: c + 32 for c in range(65, 91)}
 ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 LOCAL, LABEL, DIGITS = set("._%+-"), set(ASCII + "-"), set("0123456789")
-#: Longest that a parser looks to a side; no valid address or number is longer (RFC 5321, ISO 7812, ISO 13616, E.164). URLs and secrets are read to their end.
-REACH = {"local": 64, "domain": 255, "number": 40, "iban": 45}
+HEX = "0123456789abcdef"
+#: Longest run of digits, and of an IBAN's characters, that a parser looks at (ISO 7812, ISO 13616); numbers in longer runs are none.
+REACH = {"number": 40, "iban": 45}
 SECRET = re.compile(r"""(?:["']?\s*[:=]\s*|\s+)["']?([A-Za-z0-9_\-+/=.]{16,})""")
 URL = re.compile(r"[^\s\"'<>`{}|\\^]+")
 USERINFO = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*)://[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[^\s/\"'<>]+")
@@ -40,6 +45,9 @@ IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})", re.A)
 PHONE = re.compile(r"\+\d[\d ().\-]{6,24}\d|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}", re.A)
 SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})", re.A)
 CARD = re.compile(r"\d(?:[ -]?\d){12,18}", re.A)
+#: Behind a cue of numbers: what may name it further, and the number.
+BEHIND = re.compile(r"s?(?:[ _-]?(?:number|numbers|no\.?|num|nr\.?|id|code))?[\"']?(?: ?[:=#] ?| is | )#?[\"']?([A-Za-z]{0,2}\d[\d -]*\d)", re.I | re.A)
+V6 = re.compile(r"[0-9a-f:]+(?:\d+\.\d+\.\d+\.\d+)?", re.I | re.A)
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", re.A)
 
 
@@ -48,7 +56,8 @@ def anchors() -> dict[str, str]:
     out = {"@": "at", "://": "scheme"}
     out |= {f"{a}{b}": "number" for a in "0123456789" for b in "0123456789"} | {f"{a}.{b}": "ip" for a in "0123456789" for b in "0123456789"}
     out |= {f"{p}{d}": "phone" for p in "+(" for d in "0123456789"}
-    return out | dict.fromkeys(CUES, "cue")
+    out |= {f"{a}:{b}": "ipv6" for a in HEX for b in HEX + ":"}
+    return out | dict.fromkeys(CUES, "cue") | dict.fromkeys(NAMED, "named")
 
 
 def luhn(digits: str) -> bool:
@@ -70,12 +79,12 @@ def bounded(t: str, a: int, b: int) -> bool:
 
 def email(t: str, i: int) -> tuple[int, int, str] | None:
     a = i
-    while a > 0 and i - a < REACH["local"] and (t[a - 1].isalnum() or t[a - 1] in LOCAL):
+    while a > 0 and (t[a - 1].isalnum() or t[a - 1] in LOCAL):
         a -= 1
     while a < i and not t[a].isalnum():
         a += 1
     b, n = i + 1, len(t)
-    while b < n and b - i <= REACH["domain"] and (t[b] in LABEL or t[b] == "."):
+    while b < n and (t[b] in LABEL or t[b] == "."):
         b += 1
     domain = t[i + 1 : b].rstrip(".-")
     labels = domain.split(".")
@@ -105,6 +114,47 @@ def ip(t: str, i: int) -> tuple[int, int, str] | None:
     return a, b, "ip"
 
 
+def ipv6(t: str, i: int) -> tuple[int, int, str] | None:
+    """Of the ranges that are routed or local to a site or link; any other compressed form may be code, as a::b."""
+    a = i
+    while a > 0 and i - a < REACH["number"] and (t[a - 1] in HEX or t[a - 1] in "ABCDEF:"):
+        a -= 1
+    m = V6.match(t, a, min(len(t), a + REACH["number"] + 6))
+    x = m.group() if m else ""
+    if len(x) > 45 or x.count(":") < 2:
+        return None
+    v = x.rstrip(":") if not x.endswith("::") else x
+    try:
+        n = int(ipaddress.IPv6Address(v))
+    except ValueError:
+        return None
+    b = a + len(v)
+    top = n >> 120
+    return (a, b, "ip") if bounded(t, a, b) and (top >> 5 == 1 or top >> 1 == 0x7E or n >> 118 == 0x3FA) else None
+
+
+def routed(digits: str) -> bool:
+    """The check digit of a routing number."""
+    return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, (3, 7, 1) * 3)) % 10 == 0
+
+
+def named(t: str, i: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """The number behind a cue that names it: so many digits as its kind has, no letter or digit next to it."""
+    if i and word(t[i - 1]) and t[i - 1] != "_":
+        return None
+    m = BEHIND.match(t, end)
+    if not m:
+        return None
+    a = m.start(1)
+    for b in ends(t, re.compile(r"[A-Za-z]{0,2}\d[\d -]*\d", re.A).match(t, a, min(len(t), a + REACH["number"])), " -"):
+        x = re.sub("[ -]", "", t[a:b])
+        n = sum(c in DIGITS for c in x)
+        fits = {"account": n == len(x) and 6 <= n <= 19, "routing": routed(x) if n == len(x) else False, "passport": 6 <= n <= 9, "ssn": n == len(x) == 9 and x[:3] not in ("000", "666") and x < "9"}[kind]
+        if fits and (b == len(t) or not word(t[b])):
+            return a, b, kind
+    return None
+
+
 def iban(t: str, i: int) -> tuple[int, int, str] | None:
     if i < 2 or not (t[i - 2 : i].isascii() and t[i - 2 : i].isalpha() and t[i - 2 : i].isupper()):
         return None
@@ -138,7 +188,7 @@ def phone(t: str, i: int) -> tuple[int, int, str] | None:
 def url(t: str, i: int, plain: int) -> tuple[tuple[int, int, str] | None, int]:
     """A URL with credentials or a secret; where URLs without a secret end, which are read once: it was `plain` before."""
     a = i
-    while a > 0 and i - a < 32 and (t[a - 1] in LABEL or t[a - 1] in "+."):
+    while a > 0 and (t[a - 1] in LABEL or t[a - 1] in "+."):
         a -= 1
     if m := USERINFO.match(t, a):
         return (a, m.end(), "url"), plain
@@ -162,15 +212,17 @@ def identifier(t: str, i: int) -> tuple[int, int]:
     return a, IDENTIFIER.match(t, i).end()
 
 
-def secret(t: str, a: int, end: int) -> tuple[int, int, str] | None:
-    """The value behind the identifier from a to end, if a word of it is a cue: at least 16 characters, letters and digits among them."""
-    m = SECRET.match(t, end)
-    if not m or not any(map(cue, PARTS.findall(t, a, end))):
-        return None
+def secret(t: str, a: int, end: int) -> tuple[tuple[int, int, str] | None, int]:
+    """The value behind the identifier from a to end, if a word of it is a cue: at least 16 characters, letters and digits among them;
+    up to where no other cue is worth a look, since a value that has no digit has none in any part."""
+    if not any(map(cue, PARTS.findall(t, a, end))) or not (m := SECRET.match(t, end)):
+        return None, end
     if got := iban(t, m.start(1) + 2):
-        return got
+        return got, end
     v = m[1].rstrip(".=-") if not m[1].endswith("=") else m[1]
-    return (m.start(1), m.start(1) + len(v), "secret") if len(v) >= 16 and any(c in DIGITS for c in v) and any(c.isalpha() for c in v) else None
+    if len(v) >= 16 and any(c in DIGITS for c in v) and any(c.isalpha() for c in v):
+        return (m.start(1), m.start(1) + len(v), "secret"), end
+    return None, m.end() if not any(c in DIGITS for c in v) else end
 
 
 class Finder:
@@ -204,9 +256,13 @@ class Finder:
                 if i < judged:
                     continue
                 a, judged = identifier(t, i)
-                got = secret(t, a, judged)
+                got, judged = secret(t, a, judged)
             elif what == "ip":
                 got = ip(t, i)
+            elif what == "ipv6":
+                got = ipv6(t, i)
+            elif what == "named":
+                got = named(t, i, last + 1, NAMED[folded[i : last + 1]])
             elif what == "phone":
                 got, tried = phone(t, i), i + 1
                 other = digits(t, i + 1)  # an account number may begin at the sign, and be longer than a phone number

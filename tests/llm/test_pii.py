@@ -1,5 +1,7 @@
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,6 +62,69 @@ def test_cues_are_whole_identifiers():
     assert kinds("IBAN: GB82WEST12345698765432") == [("iban", "GB82WEST12345698765432")]
 
 
+def test_cues_of_numbers():
+    assert kinds("account number 12345678, Acct: 0012-3456-78; account no. 99887766") == [("account", "12345678"), ("account", "0012-3456-78"), ("account", "99887766")]
+    assert kinds("passport C01234567 routing number 021000021 SSN 078051120 social security number: 078-05-1120") == [("passport", "C01234567"), ("routing", "021000021"), ("ssn", "078051120"), ("ssn", "078-05-1120")]
+    assert kinds("routing 021000022, on account of 1999, accounts receivable 123456, passports in 2024, ssn 000112222, bank account: GB82 WEST 1234 5698 7654 32") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+
+
+def test_ipv6():
+    assert kinds("at 2001:db8::1. and fe80::1%eth0 2001:0DB8:85a3:0000:0000:8a2e:0370:7334, fd12:3456::7") == [("ip", "2001:db8::1"), ("ip", "fe80::1"), ("ip", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "fd12:3456::7")]
+    assert kinds("10:30:45 a::b std::map ::1 12::30 2001:db8::1:2:3:4:5:6:7:8 x2001:db8::1") == []
+
+
+def test_over_long_addresses_are_masked_whole():
+    for n in (64, 65, 300, 5000):
+        assert kinds(f"to {'x' * n}@mail.example.com.") == [("email", f"{'x' * n}@mail.example.com")]
+    assert kinds(f"{'s' * 40}://u:p@h.com") == [("url", f"{'s' * 40}://u:p@h.com")]
+
+
+@pytest.mark.parametrize("piece", ["2001:", "f:f", "aa:", "token=", "token ", "a@", "account 1 ", "4 ", "2001::", "key=1", "://", "@a."])
+def test_time_in_proportion(piece):
+    """Twice the text takes about twice the time, whatever it holds."""
+
+    def took(n):
+        began = time.perf_counter()
+        FIND(piece * (n // len(piece)))
+        return time.perf_counter() - began
+
+    assert took(1 << 16) < 3 * took(1 << 15) + 0.1
+
+
+def everywhere(t):
+    """Spans found by trying every parser at every place of the text, with no anchors; each is checked to be of the leftmost place that has one."""
+    out = set()
+    for i in range(len(t)):
+        if t[i] == "@":
+            out.add(P.email(t, i))
+        if t.startswith("://", i):
+            out.add(P.url(t, i, 0)[0])
+        if t[i] in P.DIGITS:
+            out |= {P.iban(t, i), P.ip(t, i), P.digits(t, i) if i == 0 or t[i - 1] not in P.DIGITS else None}
+        if t[i] in "+(":
+            out.add(P.phone(t, i))
+        out.add(P.ipv6(t, i))
+        for c in P.CUES:
+            if t[i:].lower().startswith(c):
+                out.add(P.secret(t, *P.identifier(t, i))[0])
+        for c, k in P.NAMED.items():
+            if t[i : i + len(c)].lower() == c:
+                out.add(P.named(t, i, i + len(c), k))
+    return out - {None}
+
+
+def test_anchors_find_all_that_parsers_find_everywhere(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    seen = set()
+    for t in sorted(docs, key=len):
+        got, every = FIND(t), everywhere(t)
+        assert set(got) <= every, (t, got)
+        for x in every:  # what isn't reported overlaps what is
+            assert any(a < x[1] and x[0] < b for a, b, _ in got), (t, x, got)
+        seen |= {k for _, _, k in got}
+    assert seen >= {"email", "ip", "phone", "account", "secret"}
+
+
 def test_clean_prose():
     assert kinds("In 1999, 4.0 of 100 (2) pages; see section 12.3 and 2024-01-31, 10:30, GPL version 3.0.1 + 2.") == []
 
