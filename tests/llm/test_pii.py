@@ -115,6 +115,8 @@ def everywhere(t):
 
 def test_anchors_find_all_that_parsers_find_everywhere(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    x = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs += [f'apiKey = "{x}", account no. 12345678; ssn 078-05-1120', f"https://u:p@h.com/?token={x} at 2001:db8::1 GB82WEST12345698765432 (4111 1111 1111 1111)"]
     seen = set()
     for t in sorted(docs, key=len):
         got, every = FIND(t), everywhere(t)
