@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import arrow_map, cut, pick, slices, words
+from loomgrid.llm.common import arrow_map, cut, pick, slices, whole, words
 
 VOCABULARY, CLASSES, SWEEPS, MOVED, PRIOR, ADDED = 4096, 64, 8, 0.002, 10.0, 0.5
 #: Rows of a slice at most, beside the bytes that bound it; bytes of words with their neighbours that are judged at a time, about.
@@ -274,23 +274,6 @@ def read(row: pa.RecordBatch) -> tuple[int, np.ndarray]:
     return own, np.frombuffer(unpack(flat, 4 * length), np.int32)
 
 
-def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Batches sorted by the key as tables that hold all rows of each of their keys."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if not table.num_rows:
-            continue
-        keys = table.column(key)
-        others = np.flatnonzero(pc.not_equal(keys, keys[-1]).to_numpy())
-        last = int(others[-1]) + 1 if len(others) else 0
-        if last:
-            yield table.slice(0, last)
-        held = table.slice(last)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def neighbours(slices_: DataFrame, of: np.ndarray) -> DataFrame:
     """word, slice, place, around: of each of a slice's own words the classes before and behind it, as pairs of <u2, wherever it stands."""
     frequent = len(of) - 2

@@ -6,7 +6,9 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,6 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows and about BATCH_BYTES bytes of text; a longer text is a slice of its own."""
-    import pyarrow.compute as pc
-
     n = batch.num_rows
     if not n:
         return
@@ -67,6 +67,23 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
     return df.mapInArrow(run, schema)
 
 
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by the key as tables that hold all rows of each of their keys."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        keys = table.column(key)
+        others = np.flatnonzero(pc.not_equal(keys, keys[-1]).to_numpy())
+        last = int(others[-1]) + 1 if len(others) else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Checkpoints go to spark.checkpoint.dir. Where the session names none, a local session gets a temporary folder; on a cluster that is an error."""
     context = spark.sparkContext
@@ -84,6 +101,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(df: DataFrame) -> None:
+    """Removes what cut() wrote of these rows, once nothing reads them any more."""
+    context = df.sparkSession.sparkContext
+    name = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if name.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(name.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
