@@ -4,8 +4,9 @@ A 64-bit word's upper 4 bits are a selector that says how many ids of how many b
 is an escape: the next word is one raw id, for ids of over 60 bits. Ids are coded in blocks of BLOCK; the offset of each block's first word is
 kept, so that the blocks of a text, or of a whole batch of texts, are decoded in step with each other by array operations.
 
-Tokens are those of a byte-level BPE vocabulary file, whose path is a parameter. A text is cut before each space that
-something follows, where the vocabulary's own pattern always cuts, so a worker can keep the ids of frequent pieces.
+Tokens are those of a byte-level BPE vocabulary file, whose path is a parameter; it is read where the plan is made and goes to the workers with it
+(a vocabulary of more than MOST_BYTES is refused). A text is cut before each space that stands between two characters that aren't white space,
+where the vocabulary's own pattern always cuts, so a worker can keep the ids of frequent pieces.
 
 Defined results: a null text has null words, null offsets and null counts; an empty text has no tokens, no words and no
 offsets; a null id is kept; repeated rows are coded one by one; texts are coded whole; an empty table gives an empty
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +35,17 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Pieces whose ids a worker keeps; texts that are coded at a time, by their number of ids, about.
 KNOWN, TOGETHER = 500_000, 1 << 20
-CUT = re.compile(r" (?=\S)")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+MOST_BYTES = 64 << 20
 
 
 class Tokens(dict):
     """What follows a space -> the ids of both as bytes of int32."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> bytes:
@@ -53,7 +55,7 @@ class Tokens(dict):
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        first, *rest = CUT.split(text) if "  " in text else text.split(" ")
+        first, *rest = CUT.split(text)
         return np.frombuffer(b"".join([array("i", self.encode(first)).tobytes(), *map(self.__getitem__, rest)]), np.int32)
 
 
@@ -157,14 +159,24 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_tokens: int) -> np.ndarray:
     return out[:, :BLOCK][np.arange(BLOCK) < sizes[:, None]]
 
 
-MADE: dict[str, Tokens] = {}
+MADE: dict[bytes, Tokens] = {}
+
+
+def vocabulary_bytes(path: str) -> bytes:
+    raw = Path(path).read_bytes()
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    return raw
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_words, offsets, words of every document: a map without a shuffle."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+
     def run(batch: pa.RecordBatch) -> dict:
-        tokens = MADE.get(vocabulary) or MADE.setdefault(vocabulary, Tokens(vocabulary))
+        key = sent.value
+        tokens = MADE[key] if key in MADE else MADE.setdefault(key, Tokens(key))
         texts = [None if t is None else tokens.ids(t) for t in batch.column("text").to_pylist()]
         got, part, size = [], [], 0
         for x in texts:

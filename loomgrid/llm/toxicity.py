@@ -5,7 +5,7 @@ FTRL-proximal keeps a learning rate per coordinate, and its L1 term leaves most
 is small enough to go to every worker.
 
 The model is fitted on a bounded sample of labelled rows: the `max_rows` of the least hashes of their ids, in that
-order, in one task. Scoring covers every document and its whole text, in one map without a shuffle.
+order, in one task; of an id in many rows no more than that come to it either. Scoring covers every document and its whole text, in one map without a shuffle.
 
 Defined results: a null or empty text, or one without words, isn't toxic; labels that are null, and labels of ids
 without a document, are not used; a null id is scored and kept; repeated rows are scored one by one; without labelled rows all weights are
@@ -95,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["place", "weight"])
 
-    one = joined.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text")
+    first = [F.xxhash64("id"), F.col("id"), F.xxhash64("text"), F.col("text")]
+    one = joined.orderBy(*first).limit(max_rows).repartition(1).sortWithinPartitions(*first)
     return {r["place"]: r["weight"] for r in one.mapInArrow(learn, "place long, weight double").collect()}
 
 

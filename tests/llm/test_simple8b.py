@@ -1,3 +1,5 @@
+import random
+import base64
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -56,12 +58,12 @@ def test_zeros_and_escapes():
 @settings(deadline=None, max_examples=200)
 @given(st.text(st.sampled_from("ab é\n\t .,'s0  "), max_size=40))
 def test_pieces_give_the_same_ids(t):
-    tokens = B.MADE.setdefault(B.VOCABULARY, B.Tokens(B.VOCABULARY))
+    tokens = B.Tokens(B.vocabulary_bytes(B.VOCABULARY))
     assert tokens.ids(t).tolist() == tokens.encode(t)
 
 
 def test_tables_round_trip(spark):
-    tokens = B.MADE.setdefault(B.VOCABULARY, B.Tokens(B.VOCABULARY))
+    tokens = B.Tokens(B.vocabulary_bytes(B.VOCABULARY))
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = B.query(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(docs)
@@ -78,3 +80,15 @@ def test_awkward(awkward, nothing):
     assert by[4].n_tokens == 0 and by[4].words == b"" and list(by[4].offsets) == []
     assert by[6].n_tokens > 60_000 and by[6].n_words * 8 == len(by[6].words)
     assert B.coded(nothing).count() == 0
+
+
+def test_ids_are_the_vocabularys_own_whatever_the_white_space():
+    tokens = B.Tokens(B.vocabulary_bytes(B.VOCABULARY))
+    r = random.Random(3)
+    for _ in range(400):
+        t = "".join(r.choice(["a", "word", " ", "  ", "\n", "\t", "\r\n", "é", ",", "\u00a0", "'s", "12", "\x1c"]) for _ in range(r.randrange(25)))
+        assert tokens.ids(t).tolist() == tokens.encode(t), repr(t)
+    # a vocabulary that merges white space across a line's end
+    merged = B.vocabulary_bytes(B.VOCABULARY).rstrip() + b"\n" + base64.b64encode(b"\n \n") + b" 999999\n"
+    tokens = B.Tokens(merged)
+    assert tokens.ids("a\n \nb").tolist() == tokens.encode("a\n \nb")

@@ -79,3 +79,65 @@ def test_awkward(awkward, nothing, labels, docs):
 
 def test_bound_and_ties(docs, labels):
     assert X.fit(docs, labels, max_rows=50) == X.fit(docs.repartition(7), labels.repartition(5), max_rows=50)
+
+
+def test_an_id_of_many_rows_is_bounded(spark, labels):
+    rows = [(4, sentence(k, k % 2), 0, 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, id int")
+    few = sorted(rows, key=lambda r: r[1])
+    assert X.fit(docs, labels, max_rows=20) == X.fit(docs.repartition(5), labels, max_rows=20) and len(few) == 300
+    place = X.fit(docs, labels, max_rows=20)
+    assert all(isinstance(k, int) for k in place)
+
+
+def plain(docs, labels, epochs, bits):
+    """Scores of all documents: features as loops, FTRL as loops over dicts."""
+    import xxhash
+
+    from loomgrid.llm.common import words
+
+    mix = [int(x) for x in X.MIX]
+
+    def features(t):
+        h, out, m = [xxhash.xxh3_64_intdigest(w) for w in words(t or "")], set(), (1 << 64) - 1
+        every = [x * mix[0] & m for x in h] + [(a * mix[1] + b * mix[0]) & m for a, b in zip(h, h[1:])] + [(a * mix[2] + b * mix[3]) & m for a, b in zip(h, h[2:])]
+        for x in every:
+            out.add((((x ^ (x >> 31)) * mix[1]) & m) >> (64 - bits))
+        return sorted(out)
+
+    z, n, bias = {}, {}, 1 << bits
+
+    def weight(i):
+        l1 = 0 if i == bias else X.L1
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else (math.copysign(l1, v) - v) / ((X.BETA + math.sqrt(n[i])) / X.ALPHA + X.L2)
+
+    for _ in range(epochs):
+        for d, t in docs:
+            if d in labels:
+                at = [*features(t), bias]
+                w = [weight(i) for i in at]
+                g = X.sigmoid(sum(w)) - labels[d]
+                for i, x in zip(at, w):
+                    s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / X.ALPHA
+                    z[i], n[i] = z.get(i, 0.0) + g - s * x, n.get(i, 0.0) + g * g
+    out = {}
+    for d, t in docs:
+        f = [i for i in features(t) if weight(i)]
+        out[d] = X.sigmoid(sum(map(weight, f)) + weight(bias)) if f else 0.0
+    return out
+
+
+def test_whole_query_against_loops(spark):
+    texts = {i: sentence(i, i % 3 == 0) for i in range(60)} | {60: "", 61: None}
+    y = {i: int(i % 3 == 0) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    order = [r.doc_id for r in df.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect()]
+    want = plain([(d, texts[d]) for d in order], y, 3, 12)
+    lab = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in X.scores(df, X.fit(df, lab, epochs=3, bits=12), bits=12).collect()}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-5 for d in want)
+    found = {r.doc_id for r in X.toxic(df, lab, epochs=3, bits=12).collect()}
+    assert found == {d for d in want if want[d] > X.THRESHOLD} and found
+    tie = got[min(found)]
+    assert min(found) not in {r.doc_id for r in X.toxic(df, lab, threshold=tie, epochs=3, bits=12).collect()}  # a score equal to the threshold
