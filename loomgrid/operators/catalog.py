@@ -92,3 +92,32 @@ def retagged(tools: DataFrame, changes: DataFrame) -> DataFrame:
 def spark_type(kind: Column) -> Column:
     """Names of parameter types as column types; unknown ones are strings."""
     return F.when(kind == "integer", "bigint").when(kind == "number", "double").when(kind == "boolean", "boolean").when(kind == "array", "array<string>").when(kind == "object", "map<string,string>").otherwise("string")
+
+
+def registered(requests: DataFrame, order: str) -> DataFrame:
+    """accepted: whether a registration is the first of its name and version; a later one is refused.
+
+    One partial aggregation by the key, so many requests for one name are counted before they are shuffled.
+    """
+    first = requests.groupBy(F.col("name").alias("__n"), F.col("version").alias("__v")).agg(F.min(order).alias("__first"))
+    same = F.col("name").eqNullSafe(F.col("__n")) & F.col("version").eqNullSafe(F.col("__v"))
+    return requests.join(first, same).withColumn("accepted", F.col(order) == F.col("__first")).drop("__n", "__v", "__first")
+
+
+def unregistered(tools: DataFrame, aliases: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tools, aliases and tag index without the tools in `gone` (tool_id): what points at a tool goes with it."""
+    gone = gone.select("tool_id")
+    left = tools.join(gone, "tool_id", "left_anti")
+    return left, aliases.join(gone, "tool_id", "left_anti"), tag_index(left)
+
+
+def folded(tools: DataFrame, log: DataFrame) -> DataFrame:
+    """tool_id, status, usage_count, last_used after a log of (tool_id, at, status, used): the latest status that isn't null, counts and times added up."""
+    at = F.struct("at", "status")
+    change = log.groupBy("tool_id").agg(
+        F.max(F.when(F.col("status").isNotNull(), at)).alias("c"),
+        F.count_if(F.col("used")).alias("n"),
+        F.max(F.when(F.col("used"), F.col("at"))).alias("l"),
+    )
+    now = tools.select("tool_id", "status", "usage_count", "last_used").join(change, "tool_id", "left")
+    return now.select("tool_id", F.coalesce("c.status", "status").alias("status"), (F.col("usage_count") + F.coalesce("n", F.lit(0))).alias("usage_count"), F.greatest("last_used", "l").alias("last_used"))

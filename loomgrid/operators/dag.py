@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Assignments by pattern: phase, agent, hours, what it waits for, priority.
 PLANS = {
@@ -73,3 +74,28 @@ def roots(tasks: DataFrame) -> DataFrame:
     """n_roots, whether they form a parallel group, and the sum of their hours, by plan."""
     first = F.size("waits") == 0
     return tasks.groupBy("plan").agg(F.count_if(first).alias("n_roots"), (F.count_if(first) > 1).alias("parallel"), F.sum(F.when(first, F.col("hours"))).alias("root_hours"))
+
+
+def critical_path(tasks: DataFrame) -> DataFrame:
+    """plan, hours of its longest chain, and what it saves over one task after another."""
+    done = layers(tasks).join(tasks.select("plan", "task", "hours"), ["plan", "task"])
+    e, ends = edges(tasks), done.filter("layer = 0").select("plan", "task", F.col("hours").alias("ends"))
+    for k in range(1, (done.agg(F.max("layer")).first()[0] or 0) + 1):
+        before = e.join(ends.select("plan", F.col("task").alias("waits_for"), F.col("ends").alias("b")), ["plan", "waits_for"]).groupBy("plan", "task").agg(F.max("b").alias("b"))
+        ends = settled(ends.unionByName(done.filter(F.col("layer") == k).join(before, ["plan", "task"]).select("plan", "task", (F.col("b") + F.col("hours")).alias("ends"))))
+    total = tasks.groupBy("plan").agg(F.sum("hours").alias("total"))
+    return ends.groupBy("plan").agg(F.max("ends").alias("hours")).join(total, "plan").select("plan", "hours", (F.col("total") - F.col("hours")).alias("saved"))
+
+
+def start_and_stop(tasks: DataFrame) -> DataFrame:
+    """plan, task and its places among starts and stops: by layer, priority and name, and the other way round."""
+    w = W.partitionBy("plan")
+    rows = layers(tasks).join(tasks.select("plan", "task", "priority"), ["plan", "task"])
+    place = lambda *by: F.row_number().over(w.orderBy(*by)).cast("long")
+    return rows.select("plan", "task", place("layer", "priority", "task").alias("start_order"), place(F.desc("layer"), F.desc("priority"), F.desc("task")).alias("stop_order"))
+
+
+def simulated(tasks: DataFrame) -> DataFrame:
+    """plan, task, ends: hours from the plan's start when tasks run one after another in order of layer, priority and name."""
+    rows = layers(tasks).join(tasks.select("plan", "task", "priority", "hours"), ["plan", "task"])
+    return rows.select("plan", "task", F.round(F.sum("hours").over(W.partitionBy("plan").orderBy("layer", "priority", "task")), 6).alias("ends"))

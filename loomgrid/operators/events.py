@@ -41,3 +41,24 @@ def history(events: DataFrame, per: str, n: int, *order: str) -> DataFrame:
 def state(log: DataFrame, key: str, status: str, order: str) -> DataFrame:
     """The latest status of each key."""
     return log.groupBy(key).agg(F.max_by(status, order).alias("status"), F.max(order).alias("since"))
+
+
+def unsubscribed(subscriptions: DataFrame, handles: DataFrame | None = None, handlers: DataFrame | None = None) -> DataFrame:
+    """Subscriptions without those named: by handle a subscription, by handler all that it has, wildcards among them.
+
+    A handle or handler that nothing has, and one that is null, takes nothing away.
+    """
+    left = subscriptions
+    if handles is not None:
+        left = left.join(handles.select("subscription"), "subscription", "left_anti")
+    return left if handlers is None else left.join(handlers.select("handler"), "handler", "left_anti")
+
+
+def report(errors: DataFrame, error_type: str, order: str, recent: int = 10) -> DataFrame:
+    """kind, key, n: the total, the count of each type, and the last errors with their places, oldest first."""
+    n = F.count(F.lit(1)).alias("n")
+    total = errors.agg(n).select(F.lit("total").alias("kind"), F.lit("").alias("key"), "n")
+    types = errors.groupBy(error_type).agg(n).select(F.lit("type").alias("kind"), F.col(error_type).alias("key"), "n")
+    last = errors.select(order).orderBy(F.desc(order)).limit(recent)
+    place = F.row_number().over(W.orderBy(order)).cast("long")  # of `recent` rows
+    return total.unionByName(types).unionByName(last.select(F.lit("recent").alias("kind"), F.col(order).cast("string").alias("key"), place.alias("n")))

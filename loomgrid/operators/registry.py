@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +49,16 @@ class Registry:
 
 
 def safe_predicate(f: Callable[..., bool], *columns: str) -> Column:
-    """A user's Python predicate; where it raises, the row doesn't pass."""
+    """A user's Python predicate; where it raises, the row doesn't pass. It sees rows one by one, Spark sends them in Arrow batches."""
 
-    @F.udf("boolean")
-    def test(*values):
+    def one(values: tuple) -> bool:
         try:
             return bool(f(*values))
         except Exception:
             return False
 
+    @F.arrow_udf("boolean")
+    def test(*batch: pa.Array) -> pa.Array:
+        return pa.array([one(v) for v in zip(*(c.to_pylist() for c in batch))], pa.bool_())
+
     return test(*columns)

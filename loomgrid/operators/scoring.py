@@ -8,19 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Words that add lines of code: any of them, so many lines.
-LINES = [(400, "interface ui"), (200, "api"), (300, "db database"), (500, "auth authentication")]
-OUTSIDE = "api external integration service third-party".split()
-RISKS = dict(x.split(": ") for x in ("data migration: Data migration required", "legacy: Legacy system integration", "performance: Performance optimization needed", "scalability: Scalability considerations", "security: Security implementation required"))
-SKILLS = {k: sorted(v.split()) for k, v in {"testing": "validation test quality qa", "security": "security encryption authentication", "devops": "kubernetes docker deployment ci/cd", "backend": "python node java database api", "frontend": "vue react javascript html css"}.items()}
-HOURS = {"refactor": 6, "feature": 8, "documentation": 2, "code_review": 1, "bugfix": 4}
+#: Lines of code that a description adds by naming any of the words.
+LINES = [(500, ["auth", "authentication"]), (300, ["db", "database"]), (200, ["api"]), (400, ["ui", "interface"])]
+OUTSIDE = ["integration", "external", "third-party", "api", "service"]
+#: Keyword and risk, in the order in which risks are listed.
+RISKS = {
+    "security": "Security implementation required",
+    "performance": "Performance optimization needed",
+    "scalability": "Scalability considerations",
+    "legacy": "Legacy system integration",
+    "data migration": "Data migration required",
+}
+#: Skills of a category in alphabetical order.
+SKILLS = {
+    "frontend": ["css", "html", "javascript", "react", "vue"],
+    "backend": ["api", "database", "java", "node", "python"],
+    "devops": ["ci/cd", "deployment", "docker", "kubernetes"],
+    "security": ["authentication", "encryption", "security"],
+    "testing": ["qa", "quality", "test", "validation"],
+}
+HOURS = {"feature": 8, "bugfix": 4, "documentation": 2, "code_review": 1, "refactor": 6}
 #: Level, most hours, most components, most skills; the first that holds.
 LEVELS = [("simple", 6, 1, 2), ("moderate", 20, 3, 4), ("complex", 50, 8, 6)]
 RETRIES = {"quality_gate_failure": (1, 1.0), "resource_unavailable": (5, 1.2), "agent_failure": (2, 1.5), "agent_timeout": (3, 2.0)}
 
 
-def has(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words.split()))
+def has(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
 def lines_of_code(text: Column) -> Column:
@@ -52,7 +66,7 @@ def scored(tasks: DataFrame) -> DataFrame:
     tasks = tasks.withColumn("__full", full)  # a column of its own, since some thirty tests read it
     full = F.col("__full")
     t = tasks.withColumns({"loc": lines_of_code(F.col("description")), "components": F.greatest(F.lit(1), F.size("requirements")).cast("long"), "outside": outside_dependencies(F.col("requirements")), "risks": risks(full), "skills": skills(full)}).drop("__full")
-    t = t.withColumn("hours", F.round(case(F.col("task_type"), HOURS, 4).cast("double") * (1 + F.col("loc") / 5000 + F.col("outside") * 0.2), 6)).withColumn("n_skills", F.size("skills").cast("long"))
+    t = t.withColumn("hours", case(F.col("task_type"), HOURS, 4).cast("double") * (1 + F.col("loc") / 5000 + F.col("outside") * 0.2)).withColumn("n_skills", F.size("skills").cast("long"))
     level = reduce(lambda c, r: c.when((F.col("hours") <= r[1]) & (F.col("components") <= r[2]) & (F.col("n_skills") <= r[3]), r[0]), LEVELS, F).otherwise("enterprise")
     t = t.withColumn("complexity", level)
     c, many = F.col("complexity"), F.col("components") > 1
@@ -98,28 +112,63 @@ def overloaded(work: DataFrame, agent: str, duration: str, times: float = 1.5) -
     return load.crossJoin(mean).select(agent, "load", (F.col("load") > F.col("mean") * times).alias("overloaded"))
 
 
-#: Prompt variations: kind, template, what goes before, what goes after.
-VARIATIONS = [
-    ("tone", "friendly", "", "\n\nKeep a warm and open tone."),
-    ("tone", "direct", "Answer in few words.\n\n", ""),
-    ("tone", "supportive", "", "\n\nEncourage the team."),
-    ("structure", "steps", "Take these steps:\n1. ", ""),
-    ("structure", "bullets", "What counts:\n• ", ""),
-    ("detail", "more", "", "\n\nExplain in detail."),
-    ("detail", "less", "Name key points only.\n\n", ""),
-    ("clarity", "explicit", "", "\n\nSay plainly what is asked."),
-    ("context", "goals", "Mind the project's goals.\n\n", ""),
-]
-
-
-def varied(prompt: Column, template: Column, before: Column, after: Column) -> Column:
-    step = F.when(template == "steps", F.replace(prompt, F.lit(". "), F.lit(".\n2. "))).when(template == "bullets", F.replace(prompt, F.lit(". "), F.lit(".\n• "))).otherwise(prompt)
-    return F.concat(before, step, after)
+#: Prompt variations by kind: template, what goes before the prompt, what goes after, what is done to it. No more than these change a prompt.
+VARIATIONS = {
+    "tone_adjustment": [
+        ("professional", "", "", "formal"),
+        ("friendly", "", "Always maintain a friendly and approachable tone in your interactions.", ""),
+        ("direct", "Be direct and concise in all responses.", "", ""),
+        ("encouraging", "", "Provide encouraging feedback and support to team members.", ""),
+    ],
+    "structure_modification": [("steps", "", "", "steps"), ("bullets", "", "", "bullets"), ("sections", "", "", ""), ("examples", "", "", "")],
+    "detail_level_change": [
+        ("more", "", "Provide detailed explanations and comprehensive analysis in all responses.", ""),
+        ("less", "Be concise and focus on key points.", "", ""),
+        ("technical", "", "", ""),
+        ("edge_cases", "", "", ""),
+    ],
+    "instruction_clarity": [
+        ("explicit", "", "Be explicit about requirements and provide specific, actionable guidance.", ""),
+        ("outputs", "", "", ""),
+        ("validation", "", "", ""),
+        ("format", "", "", ""),
+    ],
+    "context_enhancement": [
+        ("goals", "Consider the overall project context and goals when completing tasks.", "", ""),
+        ("team", "", "", ""),
+        ("stack", "", "", ""),
+        ("users", "", "", ""),
+    ],
+    "specialization_focus": [("expertise", "", "", "focus"), ("practices", "", "", "focus"), ("standards", "", "", "focus"), ("tools", "", "", "focus")],
+}
+#: What an agent's kind is told to focus on.
+FOCUS = {
+    "developer": "coding best practices and software engineering",
+    "code_reviewer": "code quality and security standards",
+    "architect": "system design and architectural patterns",
+    "project_manager": "project management and team coordination",
+    "qa_agent": "testing methodologies and quality assurance",
+    "documentation_agent": "technical writing and documentation standards",
+}
+VARIATION_SCHEMA = "place int, kind string, template string, before string, after string, step string"
 
 
 def variations(n: int) -> list[tuple]:
-    """The first n, kind by kind."""
-    return VARIATIONS[:n]
+    """Of each kind the first n templates, and of all these the first n: four or fewer are all of tone. Rows of VARIATION_SCHEMA."""
+    every = [(kind, *t) for kind, templates in VARIATIONS.items() for t in templates[:n]]
+    return [(i, *v) for i, v in enumerate(every[:n])]
+
+
+def varied(prompt: Column, agent: Column, step: Column, before: Column, after: Column) -> Column:
+    gap = "\n\n"
+    changed = (
+        F.when(step == "formal", F.replace(F.replace(prompt, F.lit("friendly"), F.lit("professional")), F.lit("casual"), F.lit("formal")))
+        .when(step == "steps", F.concat(F.lit("Follow these numbered steps:\n1. "), F.replace(prompt, F.lit(". "), F.lit(".\n2. "))))
+        .when(step == "bullets", F.concat(F.lit("Key responsibilities:\n• "), F.replace(prompt, F.lit(". "), F.lit(".\n• "))))
+        .when(step == "focus", F.concat(F.lit("Focus on "), case(agent, FOCUS, "general expertise"), F.lit(" in your responses." + gap), prompt))
+        .otherwise(prompt)
+    )
+    return F.concat(F.when(before == "", "").otherwise(F.concat(before, F.lit(gap))), changed, F.when(after == "", "").otherwise(F.concat(F.lit(gap), after)))
 
 
 def phases_progress(phases: DataFrame, key: str, order: str) -> DataFrame:

@@ -150,3 +150,27 @@ def retagged(t: Tables) -> DataFrame:
 def types(t: Tables) -> DataFrame:
     p = t.spark.createDataFrame(PARAMETERS, "name string, type string, least int, most int, required boolean, preset string")
     return p.select("name", C.spark_type(p.type).alias("column_type"))
+
+
+@query("d01_register", "D-01", f"with {SQL} select tool_id, seq = min(seq) over (partition by name, version) as accepted from tools")
+def register(t: Tables) -> DataFrame:
+    return C.registered(tools(t), "seq").select("tool_id", "accepted")
+
+
+@query("d02_unregister", "D-02", f"""with {SQL}, l as (select * from tools where status <> 'deprecated') select 'tool' as kind, name as key, tool_id from l union all select 'alias', 'alias-' || seq, tool_id from l
+union all select distinct 'tag', unnest(tags), tool_id from l""")
+def unregister(t: Tables) -> DataFrame:
+    every = tools(t)
+    aliases = every.select(F.concat(F.lit("alias-"), F.col("seq").cast("string")).alias("key"), "tool_id")
+    left, named, tagged = C.unregistered(every, aliases, every.filter("status = 'deprecated'"))
+    rows = lambda kind, df, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "tool_id")
+    return rows("tool", left, "name").unionByName(rows("alias", named, "key")).unionByName(rows("tag", tagged, "tag"))
+
+
+@query("d03_usage_log", "D-03", f"""with {SQL}, g as (select cast(l_partkey as varchar) as tool_id, l_shipdate as used_at, case l_returnflag when 'R' then 'deprecated' when 'A' then 'inactive' end as status, l_linestatus = 'F' as used from lineitem),
+c as (select tool_id, max(row(used_at, status)) filter (where status is not null) as c, count(*) filter (where used) as n, max(used_at) filter (where used) as l from g group by 1)
+select tool_id, coalesce(struct_extract(c, 2), status) as status, usage_count + coalesce(n, 0) as usage_count, greatest(last_used, l) as last_used from tools left join c using (tool_id)""")
+def usage_log(t: Tables) -> DataFrame:
+    flag = F.when(F.col("l_returnflag") == "R", "deprecated").when(F.col("l_returnflag") == "A", "inactive")
+    log = t.lineitem.select(F.col("l_partkey").cast("string").alias("tool_id"), F.col("l_shipdate").alias("at"), flag.alias("status"), (F.col("l_linestatus") == "F").alias("used"))
+    return C.folded(tools(t), log)

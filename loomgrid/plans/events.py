@@ -65,11 +65,40 @@ def history_per_bus(t: Tables) -> DataFrame:
 @query("a11_error_stats", "A-11 F-18", """with e as (select event_id, case when value < 20 then 'timeout' when value < 50 then 'network' when value < 90 then 'rate_limit' when value < 120 then 'unavailable' else 'other' end as error_type from events where event_type = 'error')
 select error_type, count(*) as n, max(event_id) as latest from e group by 1""")
 def error_stats(t: Tables) -> DataFrame:
+    return errors(t).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("latest"))
+
+
+def errors(t: Tables) -> DataFrame:
     from loomgrid.functions.http import error_class
 
     v = F.col("value")
     message = F.when(v < 20, "Read TIMEOUT after 30 s").when(v < 50, "Network is down").when(v < 90, "Too many requests").when(v < 120, "All search strategies failed").otherwise("Something else")
-    return t.events.filter("event_type = 'error'").withColumn("error_type", error_class(message)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("latest"))
+    return t.events.filter("event_type = 'error'").withColumn("error_type", error_class(message))
+
+
+@query("a11_error_report", "A-11 F-18", """with e as (select event_id, case when value < 20 then 'timeout' when value < 50 then 'network' when value < 90 then 'rate_limit' when value < 120 then 'unavailable' else 'other' end as error_type from events where event_type = 'error'), l as (select event_id from e order by event_id desc limit 10)
+select 'total' as kind, '' as key, count(*) as n from e union all select 'type', error_type, count(*) from e group by 2 union all select 'recent', cast(event_id as varchar), row_number() over (order by event_id) from l""")
+def error_report(t: Tables) -> DataFrame:
+    return E.report(errors(t), "error_type", "event_id")
+
+
+@query("a10_delivery_errors", "A-10", FAN + """, f as (select subscription, subscription = 's3' and value > 400 or subscription = 's1' and value < 100 as failed from o join events using (event_id))
+select subscription, count(failed) as calls, count(*) filter (where not failed) as handled, count(*) filter (where failed) as errors from subs left join f using (subscription) group by 1""")
+def delivery_errors(t: Tables) -> DataFrame:
+    """What a handler raises is counted as an error, and the others go on."""
+    s, v = F.col("subscription"), F.col("value")
+    failed = (s == "s3") & (v > 400) | (s == "s1") & (v < 100)
+    n = deliveries(t).groupBy("subscription").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~failed).alias("handled"), F.count_if(failed).alias("errors"))
+    return subscriptions(t).select("subscription").join(n, "subscription", "left").na.fill(0)
+
+
+@query("t04_unsubscribe", "T-04", FAN.replace(" where enabled and", " where subscription <> 's2' and enabled and").replace("events, subs", "events, (select * from subs where subscription not in ('s3', 's6'))") + " select event_id, subscription from o")
+def unsubscribe(t: Tables) -> DataFrame:
+    """By handle s2; by handler the wildcards s3 and s6, which share one."""
+    subs = subscriptions(t).withColumn("handler", F.when(F.col("pattern") == "*", "audit").otherwise(F.col("subscription")))
+    of = t.spark.createDataFrame
+    left = E.unsubscribed(subs, of([("s2",), ("nothing",)], "subscription string"), of([("audit",)], "handler string"))
+    return E.once(E.fan_out(t.events, left, "event_type"), "event_id").select("event_id", "subscription")
 
 
 @query("t07_lifecycle", "T-07 T-13 T-14", "select user_id, arg_max(event_type, event_id) as status, max(event_id) as since from events group by 1")

@@ -26,25 +26,32 @@ def sql_pick(names: list[str], i: str) -> str:
     return "[" + ", ".join(f"'{x}'" for x in names) + f"][cast(({i}) % {len(names)} + 1 as int)]"
 
 
-def any_of(text: str, words: str) -> str:
-    return "(" + " or ".join(f"contains({text}, '{w}')" for w in words.split()) + ")"
-
-
 TASKS = f"t as (select o_orderkey, 'Build ' || {sql_pick(WORDS, 'o_orderkey')} || ' with ' || {sql_pick(WORDS, 'o_orderkey // 10')} as description, list_transform(range(1, o_orderkey % 5 + 2), lambda i: {sql_pick(WORDS, 'o_orderkey + i * i')}) as requirements, {sql_pick(KINDS, 'o_orderkey')} as task_type from orders)"
-LOC = " + ".join(f"case when {any_of('lower(description)', w)} then {n} else 0 end" for n, w in S.LINES)
-OUT = "cast(list_sum(list_transform(requirements, lambda r: " + " + ".join(f"cast(contains(lower(r), '{w}') as int)" for w in S.OUTSIDE) + ")) as bigint)"
-SKILL = "list_concat(" * (len(S.SKILLS) - 1) + ", ".join(("" if i == 0 else "") + f"list_filter([{', '.join(chr(39) + x + chr(39) for x in v)}], lambda x: contains(full_text, x))[1:2]" + (")" if i else "") for i, v in enumerate(S.SKILLS.values()))
-RISK = "list_filter([" + ", ".join(f"case when contains(full_text, '{k}') then '{v}' end" for k, v in S.RISKS.items()) + "], lambda x: x is not null)"
-SCORED = f"""{TASKS}, f as (select *, lower(description) || ' ' || lower(array_to_string(requirements, ' ')) as full_text from t),
+# The counterpart's constants are written out here, so that a wrong one in the operators shows.
+LOC = "case when contains(d, 'auth') then 500 else 0 end + case when contains(d, 'db') or contains(d, 'database') then 300 else 0 end + case when contains(d, 'api') then 200 else 0 end + case when contains(d, 'ui') or contains(d, 'interface') then 400 else 0 end"
+OUT = "cast(list_sum(list_transform(requirements, lambda r: " + " + ".join(f"cast(contains(lower(r), '{w}') as int)" for w in ("api", "service", "external", "integration", "third-party")) + ")) as bigint)"
+SKILL = " || ".join(
+    f"list_filter({v}, lambda x: contains(full_text, x))[1:2]"
+    for v in (
+        "['authentication', 'encryption', 'security']",
+        "['css', 'html', 'javascript', 'react', 'vue']",
+        "['ci/cd', 'deployment', 'docker', 'kubernetes']",
+        "['api', 'database', 'java', 'node', 'python']",
+        "['qa', 'quality', 'test', 'validation']",
+    )
+)
+RISK = """list_filter([case when contains(full_text, 'security') then 'Security implementation required' end, case when contains(full_text, 'performance') then 'Performance optimization needed' end,
+case when contains(full_text, 'scalability') then 'Scalability considerations' end, case when contains(full_text, 'legacy') then 'Legacy system integration' end, case when contains(full_text, 'data migration') then 'Data migration required' end], lambda x: x is not null)"""
+SCORED = f"""{TASKS}, f as (select *, lower(description) as d, lower(description) || ' ' || lower(array_to_string(requirements, ' ')) as full_text from t),
 g as (select *, cast({LOC} as bigint) as loc, cast(greatest(1, len(requirements)) as bigint) as components, {OUT} as outside, array_to_string({RISK}, ';') as risks, cast(len(list_distinct({SKILL})) as bigint) as n_skills from f),
-h as (select *, round(cast(case task_type {' '.join(f"when '{k}' then {v}" for k, v in S.HOURS.items())} else 4 end as double) * (1 + loc / 5000.0::double + outside * 0.2::double), 6) as hours from g),
-c as (select *, case {' '.join(f"when hours <= {a} and components <= {b} and n_skills <= {d} then '{n}'" for n, a, b, d in S.LEVELS)} else 'enterprise' end as complexity from h),
+h as (select *, cast(case task_type when 'refactor' then 6 when 'feature' then 8 when 'documentation' then 2 when 'code_review' then 1 else 4 end as double) * (1 + loc / 5000.0::double + outside * 0.2::double) as hours from g),
+c as (select *, case when hours <= 6 and components <= 1 and n_skills <= 2 then 'simple' when hours <= 20 and components <= 3 and n_skills <= 4 then 'moderate' when hours <= 50 and components <= 8 and n_skills <= 6 then 'complex' else 'enterprise' end as complexity from h),
 s as (select *, case when complexity = 'simple' or complexity = 'moderate' and components <= 1 then 'sequential' when complexity = 'moderate' then 'pipeline' when complexity = 'complex' and outside > 0 then 'fan_out_in' when complexity = 'complex' then 'parallel' else 'conditional' end as pattern from c)"""
 
 
-@query("j09_task_scores", "J-09 J-10 J-11 A-21 F-37 F-38 F-39 U-03", f"with {SCORED} select o_orderkey, loc, components, outside, risks, n_skills, hours, complexity, pattern from s")
+@query("j09_task_scores", "J-09 J-10 J-11 A-21 F-37 F-38 F-39 U-03", f"with {SCORED} select o_orderkey, loc, components, outside, risks, n_skills, round(hours, 6) as hours, complexity, pattern from s")
 def task_scores(t: Tables) -> DataFrame:
-    return S.scored(tasks(t)).select("o_orderkey", "loc", "components", "outside", F.array_join("risks", ";").alias("risks"), "n_skills", "hours", "complexity", "pattern")
+    return S.scored(tasks(t)).select("o_orderkey", "loc", "components", "outside", F.array_join("risks", ";").alias("risks"), "n_skills", F.round("hours", 6).alias("hours"), "complexity", "pattern")
 
 
 @query("g08_pattern_counts", "G-08 A-30", f"with {SCORED} select complexity, pattern, count(*) as n, round(sum(hours), 4) as hours from s group by 1, 2")
@@ -112,15 +119,31 @@ def admission(t: Tables) -> DataFrame:
     return queued.join(running, "o_custkey", "left").filter("n <= 5 - coalesce(running, 0)").select("o_orderkey")
 
 
-VAR = ", ".join("(" + ", ".join("'" + x.replace("\n", "⏎") + "'" for x in r) + ")" for r in S.VARIATIONS[:6])
+SPEC = """v(place, kind, template, before, after, step) as (values (0, 'tone_adjustment', 'professional', '', '', 'formal'), (1, 'tone_adjustment', 'friendly', '', 'Always maintain a friendly and approachable tone in your interactions.', ''),
+(2, 'tone_adjustment', 'direct', 'Be direct and concise in all responses.', '', ''), (3, 'tone_adjustment', 'encouraging', '', 'Provide encouraging feedback and support to team members.', ''),
+(4, 'structure_modification', 'steps', '', '', 'steps'), (5, 'structure_modification', 'bullets', '', '', 'bullets'), (6, 'structure_modification', 'sections', '', '', ''), (7, 'structure_modification', 'examples', '', '', ''),
+(8, 'detail_level_change', 'more', '', 'Provide detailed explanations and comprehensive analysis in all responses.', ''), (9, 'detail_level_change', 'less', 'Be concise and focus on key points.', '', ''), (10, 'detail_level_change', 'technical', '', '', ''), (11, 'detail_level_change', 'edge_cases', '', '', ''),
+(12, 'instruction_clarity', 'explicit', '', 'Be explicit about requirements and provide specific, actionable guidance.', ''), (13, 'instruction_clarity', 'outputs', '', '', ''), (14, 'instruction_clarity', 'validation', '', '', ''), (15, 'instruction_clarity', 'format', '', '', ''),
+(16, 'context_enhancement', 'goals', 'Consider the overall project context and goals when completing tasks.', '', ''), (17, 'context_enhancement', 'team', '', '', ''), (18, 'context_enhancement', 'stack', '', '', ''), (19, 'context_enhancement', 'users', '', '', ''),
+(20, 'specialization_focus', 'expertise', '', '', 'focus'), (21, 'specialization_focus', 'practices', '', '', 'focus'), (22, 'specialization_focus', 'standards', '', '', 'focus'), (23, 'specialization_focus', 'tools', '', '', 'focus'))"""
+AGENTS = ["developer", "code_reviewer", "architect", "project_manager", "qa_agent", "documentation_agent", "team_lead"]
 
 
-@query("f47_prompt_variations", "F-47 O-12 D-14 F-49", f"""with v(kind, template, a, b) as (values {VAR}) select n_name, kind, template, replace(a, '⏎', chr(10)) || case template when 'steps' then replace(p, '. ', '.' || chr(10) || '2. ') when 'bullets' then replace(p, '. ', '.' || chr(10) || '• ') else p end || replace(b, '⏎', chr(10)) as prompt
-from v, (select n_name, 'You serve ' || n_name || '. Be brief. Be kind.' as p from nation)""")
+@query("f47_prompt_variations", "F-47 D-14 F-49", f"""with {SPEC}, n as (select n_name, 'You serve ' || n_name || ' in a friendly, casual way. Be brief. Be kind.' as p, {sql_pick(AGENTS, "n_nationkey")} as agent from nation)
+select n_name, agent, cast(place as bigint) as place, kind, template, case when before = '' then '' else before || chr(10) || chr(10) end || case step when 'formal' then replace(replace(p, 'friendly', 'professional'), 'casual', 'formal')
+when 'steps' then 'Follow these numbered steps:' || chr(10) || '1. ' || replace(p, '. ', '.' || chr(10) || '2. ') when 'bullets' then 'Key responsibilities:' || chr(10) || '• ' || replace(p, '. ', '.' || chr(10) || '• ')
+when 'focus' then 'Focus on ' || case agent when 'developer' then 'coding best practices and software engineering' when 'code_reviewer' then 'code quality and security standards' when 'architect' then 'system design and architectural patterns' when 'project_manager' then 'project management and team coordination'
+when 'qa_agent' then 'testing methodologies and quality assurance' when 'documentation_agent' then 'technical writing and documentation standards' else 'general expertise' end || ' in your responses.' || chr(10) || chr(10) || p else p end || case when after = '' then '' else chr(10) || chr(10) || after end as prompt from v, n""")
 def prompt_variations(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame(S.variations(6), "kind string, template string, a string, b string")
-    p = t.nation.select("n_name", F.concat(F.lit("You serve "), "n_name", F.lit(". Be brief. Be kind.")).alias("p"))
-    return p.crossJoin(v).select("n_name", "kind", "template", S.varied(F.col("p"), F.col("template"), F.col("a"), F.col("b")).alias("prompt"))
+    v = t.spark.createDataFrame(S.variations(24), S.VARIATION_SCHEMA)
+    p = t.nation.select("n_name", pick(AGENTS, F.col("n_nationkey")).alias("agent"), F.concat(F.lit("You serve "), "n_name", F.lit(" in a friendly, casual way. Be brief. Be kind.")).alias("p"))
+    return p.crossJoin(v).select("n_name", "agent", F.col("place").cast("long").alias("place"), "kind", "template", S.varied(F.col("p"), F.col("agent"), F.col("step"), F.col("before"), F.col("after")).alias("prompt"))
+
+
+@query("o12_variation_order", "O-12", f"with {SPEC}, n as (select unnest([1, 3, 4, 5, 6]) as wanted) select cast(wanted as bigint) as wanted, cast(row_number() over (partition by wanted order by place) as bigint) as place, kind, template from v, n where place % 4 < wanted qualify row_number() over (partition by wanted order by place) <= wanted")
+def variation_order(t: Tables) -> DataFrame:
+    rows = [(n, r[0] + 1, r[1], r[2]) for n in (1, 3, 4, 5, 6) for r in S.variations(n)]
+    return t.spark.createDataFrame(rows, "wanted long, place long, kind string, template string")
 
 
 @query("w09_phase_progress", "W-09 G-14", "select l_orderkey, l_linenumber, round(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) / cast(count(*) over (partition by l_orderkey) as double) * 100, 6) as progress from lineitem")

@@ -99,6 +99,20 @@ def read_files(spark: SparkSession, path: str, max_size: int = MOST_BYTES, name_
     return meta.filter((F.col("size") <= max_size) & S.name_matches(F.col("name"), name_pattern)).select("path", "name", "size", "modified", "content", *S.text_stats(F.col("content")))
 
 
+def read_file(spark: SparkSession, path: str, max_size: int = MOST_BYTES) -> DataFrame:
+    """One text file as read_files has it. A path that isn't there, isn't a file or is larger than max_size raises."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    status = fs.getFileStatus(at)
+    if status.isDirectory():
+        raise IsADirectoryError(path)
+    if status.getLen() > max_size:
+        raise ValueError(f"{path} has {status.getLen()} bytes, more than {max_size}")
+    return read_files(spark, path, max_size)
+
+
 def search_files(spark: SparkSession, path: str, pattern: str, regex: bool = False, case_sensitive: bool = True, file_pattern: str = "*", max_file_size: int = MOST_BYTES, context_lines: int = 0, limit: int = 100) -> DataFrame:
     """Matching lines of the files below a folder, first by path and line."""
     if not 0 <= context_lines <= 10 or limit < 1:
@@ -117,19 +131,39 @@ def delete_where(df: DataFrame, gone) -> DataFrame:
     return df.filter(~F.coalesce(gone, F.lit(False)))
 
 
+def is_yaml(path: str) -> bool:
+    return path.lower().endswith((".yml", ".yaml"))
+
+
 def settings(path: str, defaults: dict | None = None, overrides: dict | None = None) -> dict:
-    """JSON settings over defaults, overrides over both; a file that is missing or broken leaves the defaults."""
+    """JSON or YAML settings over defaults, overrides over both; a file that is missing, broken or no mapping leaves the defaults."""
     try:
-        own = json.loads(Path(path).read_text())
+        text = Path(path).read_text()
+        own = parsed_yaml(text) if is_yaml(path) else json.loads(text)
     except (OSError, ValueError):
         own = {}
-    return deep_merge(deep_merge(defaults or {}, own), overrides or {})
+    return deep_merge(deep_merge(defaults or {}, own if isinstance(own, dict) else {}), overrides or {})
+
+
+def parsed_yaml(text: str):
+    """A ValueError where YAML is broken; an ImportError without a YAML library."""
+    import yaml
+
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
 
 
 def save_settings(values: dict, path: str) -> None:
-    """JSON with an indent of two."""
+    """YAML by the file's ending, else JSON with an indent of two."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=2))
+    if is_yaml(path):
+        import yaml
+
+        Path(path).write_text(yaml.safe_dump(values, sort_keys=False))
+    else:
+        Path(path).write_text(json.dumps(values, indent=2))
 
 
 def from_environment(prefix: str, values: dict[str, str] | None = None) -> dict:

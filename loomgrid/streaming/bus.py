@@ -21,17 +21,42 @@ def timed(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def publish(events: DataFrame, subscriptions: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, trigger: str = "1 second", name: str = "name") -> StreamingQuery:
-    """Each batch goes to each subscription's handler, lowest priority value first. One that raises is logged; the others go on."""
+def publish(events: DataFrame, subscriptions: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, trigger: str = "1 second", name: str = "name", order: str = "event_id", stats: dict[str, int] | None = None) -> StreamingQuery:
+    """Each batch goes to each subscription's handler, lowest priority value first. One that raises is logged and counted; the others go on.
+
+    A subscription of once gets its first event alone, and is spent unless its handler raised; what is spent is written beside the checkpoint, so that a restart knows it.
+    stats, where given, counts handlers_called and errors.
+    """
+    spark, spent_at = subscriptions.sparkSession, f"{checkpoint.rstrip('/')}-spent"
+    live = subscriptions.filter("enabled").orderBy("priority", F.col("pattern") == "*", "subscription").collect()  # each has a handler in this process
+    path = spark._jvm.org.apache.hadoop.fs.Path(spent_at)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    spent = {r[0] for r in spark.read.schema("subscription string").json(spent_at).collect()} if there else set()
+
+    def count(what: str) -> None:
+        if stats is not None:
+            stats[what] = stats.get(what, 0) + 1
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        for s in subscriptions.filter("enabled").orderBy("priority", F.col("pattern") == "*", "subscription").collect():
+        for s in live:
+            if s["subscription"] in spent:
+                continue
             own = batch if s["pattern"] == "*" else batch.filter(F.col(name) == s["pattern"])
+            if s["once"]:
+                own = own.orderBy(order).limit(1)
+                if own.isEmpty():
+                    continue
             try:
                 handlers[s["subscription"]](own)
+                count("handlers_called")
             except Exception:
+                count("errors")
                 log.exception("the handler of %s failed on batch %s", s["subscription"], epoch)
+                continue
+            if s["once"]:
+                spent.add(s["subscription"])
+                spark.createDataFrame([(s["subscription"],)], "subscription string").write.mode("append").json(spent_at)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()

@@ -71,3 +71,21 @@ def test_settings(tmp_path):
     S.save_settings(got, str(tmp_path / "d/e.json"))
     assert S.settings(str(tmp_path / "d/e.json")) == got
     assert S.from_environment("X_", {"X_A__B": "1", "X_A__C": "yes", "Y": "2"}) == {"a": {"b": 1, "c": "yes"}}
+
+
+def test_one_file_or_an_error(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    assert S.read_file(spark, str(tmp_path / "a.txt")).first().content == "one\ntwo\n"
+    for path, most, error in ((tmp_path / "none", 10, FileNotFoundError), (tmp_path, 10, IsADirectoryError), (tmp_path / "a.txt", 3, ValueError)):
+        with pytest.raises(error):
+            S.read_file(spark, str(path), most)
+
+
+def test_yaml_settings(tmp_path):
+    pytest.importorskip("yaml")
+    path = str(tmp_path / "x" / "s.yml")
+    S.save_settings({"a": {"b": 1}, "c": [1, "x"]}, path)
+    assert S.settings(path, {"a": {"d": 2}}) == {"a": {"b": 1, "d": 2}, "c": [1, "x"]}
+    (tmp_path / "bad.yaml").write_text("a: [1")
+    (tmp_path / "list.yaml").write_text("- 1")
+    assert S.settings(str(tmp_path / "bad.yaml"), {"a": 1}) == S.settings(str(tmp_path / "list.yaml"), {"a": 1}) == {"a": 1}

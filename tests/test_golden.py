@@ -110,3 +110,25 @@ def test_search_size_limit(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["p08_regex_search_default_limit"](spark, str(tmp_path))
     assert sorted((r.file, r.line_number) for r in got.collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_risks_keep_their_order(spark):
+    row = [("a", "feature", "data migration of legacy code", ["performance", "security"])]
+    got = scoring.scored(spark.createDataFrame(row, "task_id string, task_type string, description string, requirements array<string>")).first()
+    assert got.risks == ["Security implementation required", "Performance optimization needed", "Legacy system integration", "Data migration required"]
+
+
+def test_first_variations_are_of_tone():
+    assert {r[1] for r in scoring.variations(4)} == {"tone_adjustment"}
+    assert [r[1] for r in scoring.variations(5)] == ["tone_adjustment"] * 4 + ["structure_modification"]
+    assert [len(scoring.variations(n)) for n in (1, 6, 24, 99)] == [1, 6, 24, 24]
+
+
+def test_change_log(spark):
+    asked = spark.createDataFrame([("a", "1", 1), ("a", "1", 2), ("a", "2", 3), (None, "1", 4), (None, "1", 5)], "name string, version string, seq int")
+    assert {r.seq: r.accepted for r in catalog.registered(asked, "seq").collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+    tools = spark.createDataFrame([("x", "active", 1, None, ["t"]), ("y", "active", 0, None, ["t", "u"])], "tool_id string, status string, usage_count long, last_used int, tags array<string>")
+    left, aliases, tags = catalog.unregistered(tools, spark.createDataFrame([("p", "x"), ("q", "y")], "alias string, tool_id string"), spark.createDataFrame([("x",), ("no",)], "tool_id string"))
+    assert [r.tool_id for r in left.collect()] == ["y"] and [r.alias for r in aliases.collect()] == ["q"] and sorted(r.tag for r in tags.collect()) == ["t", "u"]
+    log = spark.createDataFrame([("x", 3, "inactive", False), ("x", 5, None, True), ("x", 1, "deprecated", True)], "tool_id string, at int, status string, used boolean")
+    assert sorted(map(tuple, catalog.folded(tools, log).collect())) == [("x", "inactive", 3, 5), ("y", "active", 0, None)]

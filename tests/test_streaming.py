@@ -69,3 +69,25 @@ def test_handlers_are_isolated(spark, source, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == spark.read.parquet(f"{FOLDER}/events.parquet").filter("event_type = 'error'").count()
+
+
+def test_once_is_spent(spark, source, tmp_path):
+    seen, stats, failed = [], {}, []
+
+    def fails_first(df):
+        failed.append(1)
+        if len(failed) == 1:
+            raise RuntimeError("no")
+
+    subs = spark.createDataFrame([("a", "*", 0, True, True), ("b", "*", 1, True, True)], "subscription string, pattern string, priority int, once boolean, enabled boolean")
+    handlers = {"a": lambda df: seen.extend(r.event_id for r in df.collect()), "b": fails_first}
+    for _ in range(2):
+        q = B.publish(source(), subs, handlers, str(tmp_path / "c"), "0 seconds", "event_type", stats=stats)
+        q.processAllAvailable()
+        q.stop()
+    first = spark.read.parquet(f"{FOLDER}/events.parquet").agg(F.min("event_id")).first()[0]
+    assert len(seen) == 1 and seen[0] >= first and len(failed) == 2 and stats == {"handlers_called": 2, "errors": 1}
+    q = B.publish(source(), subs, handlers, str(tmp_path / "d"), "0 seconds", "event_type")
+    q.processAllAvailable()
+    q.stop()
+    assert len(seen) == 2
