@@ -1,14 +1,14 @@
-"""Near-duplicates by SimHash and pigeonring filtering.
+"""Near-duplicates by SimHash and an exact pigeonring search.
 
-A document's hash has 256 bits: each bit is the majority over its distinct words' hashes. The bits are laid on rings of
-32 segments of 8 bits: the first ring in order, further ones permuted. If two hashes differ in at most `distance` bits, then some chain of consecutive segments
-exists whose cumulative differences, at every length, stay within the proportional budget length * distance / 32.
-Documents meet when a chain of three segments (`joined`) agrees in full, by a shuffle on the chain's bits and place; whoever meets must pass the
-chain test from some start up to CHAIN segments, and then the full Hamming check. A pair within 8 bits always has such
-a chain; for pairs beyond, up to `distance`, the share that meets is measured in the tests (at least 0.9 against brute force).
+A document's hash has 256 bits: each bit is the majority over its distinct words' hashes. The bits are laid on a ring of
+`distance` + 1 parts. If two hashes differ in at most `distance` bits, which is fewer than there are parts, then from some part on
+the first k parts differ in fewer than k bits, for every k: the first agrees in full, the first two differ in one bit at most, and so on.
+Documents meet by a shuffle on the bits and place of each part. Where they meet, the next one or two parts say who is compared with whom:
+rows whose bits there differ by no more than that allows. Whoever is compared must keep to it over 64 bits, and then
+pass the full Hamming check. So every pair within the distance is found, whatever its differences (tests: against brute force).
 
 Equal hashes are folded before the search, so a text that is copied a million times is one row. Within a set of more than SMALL documents that meet, the links
-that are kept are a spanning forest of all links among them, so large groups of near copies cost links in proportion to
+that are kept are a spanning forest of all links found among them, and rows that links connect are compared as one, so large groups of near copies cost links in proportion to
 their size and no partner is dropped: groups are the connected components of all links.
 
 Defined results: a null or empty text, or one without words, has no hash and no group; a row of null id is in no group; in a tie between the halves of a
@@ -18,6 +18,9 @@ empty table gives an empty table; other columns are ignored by `groups` and kept
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,13 +30,19 @@ from pyspark.sql import Window as W
 
 from loomgrid.llm.common import arrow_map, cut, drop, pick, whole, words
 
-BITS, SEGMENTS, JOINED, CHAIN, DISTANCE, RINGS = 256, 32, 3, 8, 36, 2
+BITS, SEGMENTS, JOINED, DISTANCE, RINGS = 256, 32, 3, 36, 2
 #: Words whose hashes a Python worker remembers.
 KNOWN = 150_000
 #: Sets of documents that meet, up to this size, are compared pair by pair, many sets at once.
 SMALL = 4
 #: Sets of documents that meet of more than this are compared by many tasks, in blocks of so many.
-BLOCK = 4096
+BLOCK = 1 << 18
+#: Sets up to the first size are compared pair by pair, up to the second by one part more, beyond it by two.
+DIRECT, SHALLOW = 32, 3000
+#: Rows alike in all parts that are looked at are compared pair by pair up to this many, beyond it link by link.
+DENSE = 128
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
 #: Ids of documents to drop go to every worker up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -89,7 +98,7 @@ def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def chains(packed: np.ndarray, n: int = RINGS, joined: int = JOINED) -> np.ndarray:
-    """The keys of each hash: ring and place of a chain of `joined` segments, then their bits."""
+    """Ring and place of each chain of `joined` segments, then their bits. The search doesn't use them, since a near pair need not share any; tests make such pairs."""
     bits, out = np.unpackbits(packed, axis=1), []
     for r, order in enumerate(rings(n)):
         ring = np.packbits(bits[:, order], axis=1).astype(np.int64)
@@ -99,20 +108,13 @@ def chains(packed: np.ndarray, n: int = RINGS, joined: int = JOINED) -> np.ndarr
 
 
 def passes(d: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Which rows of differences by segment are of a near pair: the chain test first, the full check for those that pass."""
-    ring = np.concatenate([d, d[:, : CHAIN - 1]], axis=1)  # CHAIN segments of 8 bits differ in 64 at most, which fits in a byte
-    total = ring[:, :SEGMENTS].copy()
-    alive = total <= distance // SEGMENTS
-    for length in range(2, CHAIN + 1):
-        total += ring[:, length - 1 : length - 1 + SEGMENTS]
-        alive &= total <= length * distance // SEGMENTS
-    passed = np.flatnonzero(alive.any(axis=1))
-    return passed[d[passed].sum(axis=1, dtype=np.int64) <= distance]
+    """Which rows of differences, in bits by segment or word, are of a near pair."""
+    return np.flatnonzero(d.sum(axis=1, dtype=np.int64) <= distance)
 
 
 def near(one: np.ndarray, others: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Which of the other hashes are within the distance."""
-    return passes(np.bitwise_count(others ^ one), distance)
+    return passes(np.bitwise_count(np.ascontiguousarray(others).view(np.uint64) ^ np.ascontiguousarray(one).view(np.uint64)), distance)
 
 
 def forest(packed: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -130,12 +132,17 @@ def forest(packed: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]
     return out
 
 
-def bridges(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Places of near pairs between two blocks that connect whatever any of their near pairs connect: at most as many as there are rows."""
+def bridges(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs between two blocks that connect whatever any of their near pairs connect: at most as many as there are rows.
+
+    With `once` it is one pair, which is enough where each block is connected in itself.
+    """
     i, j, of = [], [], np.arange(len(right))  # of: which part of the right block each row is of, so far
     for k in range(len(left)):
         hit = near(left[k], right, distance)
         if len(hit):
+            if once:
+                return np.array([k]), hit[:1]
             parts, first = np.unique(of[hit], return_index=True)
             i.append(np.full(len(first), k))
             j.append(hit[first])
@@ -144,10 +151,144 @@ def bridges(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> tu
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, n_rings: int = RINGS, joined: int = JOINED, block: int = BLOCK) -> DataFrame:
-    """a, b: links between distinct hashes.
+def begins(distance: int = DISTANCE) -> list[int]:
+    """Where on the ring each part begins; there is one part more than bits that may differ."""
+    if not 0 <= distance < BITS:
+        raise ValueError(f"a distance must be from 0 to {BITS - 1}")
+    return [k * BITS // (distance + 1) for k in range(distance + 1)]
+
+
+def window(packed: np.ndarray, start: int) -> np.ndarray:
+    """The 64 bits of each hash from a place of the ring on."""
+    ring = np.ascontiguousarray(packed).view(">u8").astype(np.uint64)
+    k, off = divmod(start, 64)
+    return ring[:, k] << np.uint64(off) | ring[:, (k + 1) % 4] >> np.uint64(64 - off) if off else ring[:, k]
+
+
+def parts(packed: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """The keys of each hash: which part, then its bits (of a longer part the first 32)."""
+    at = [*begins(distance), BITS]
+    return np.stack([(window(packed, a) >> np.uint64(64 - min(32, b - a))).astype(np.int64) + (k << 32) for k, (a, b) in enumerate(zip(at, at[1:]))], axis=1)
+
 
-    A set of more than `block` documents that meet is not compared where it meets: its blocks, each with itself and each with each other,
+@cache
+def flips(widths: tuple[int, ...]) -> list[int]:
+    """The ways in which two rows that agree in a part may differ in the next ones: in one bit of the first, in two of the first two."""
+    out = [0]
+    for k, width in enumerate(widths, 1):
+        own = [sum(1 << b for b in c) for n in range(k + 1) for c in combinations(range(width), n)]
+        out = [m << width | x for m in out for x in own if m.bit_count() + x.bit_count() <= k]
+    return sorted(out)
+
+
+def runs(start: np.ndarray, count: np.ndarray):
+    """Whose it is, and the number: start, start + 1, ... of each, `count` of them; about PAIRS at a time."""
+    ends = np.cumsum(count)
+    k = 0
+    while k < len(start):
+        last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        n = count[k:last]
+        own = np.repeat(np.arange(k, last), n)
+        if len(own):
+            yield own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n - start[k:last], n)
+        k = last
+
+
+def linked(packed: np.ndarray, part: int, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links among hashes that agree in a part.
+
+    They connect whatever is connected by near pairs that from this part on keep to the pigeonring's bounds.
+    """
+    n, at = len(packed), begins(distance)
+    ahead = [(at[(part + k) % len(at)] - at[part]) % BITS for k in range(1, len(at))] + [BITS]  # where the next parts begin
+    bits = window(packed, at[part])
+    key, widths = np.zeros(n, np.int64), []
+    for a, b in zip(ahead, ahead[1:][: 0 if n <= DIRECT else 1 if n <= SHALLOW else 2]):
+        b = min(b, a + 7)
+        if b > 64:
+            break
+        widths.append(b - a)
+        key = key << (b - a) | (bits << np.uint64(a) >> np.uint64(64 - b + a)).astype(np.int64)
+    in_full = [b for b in ahead if b <= 64]
+    budget, bits = max(len(in_full) - 1, 0), bits >> np.uint64(64 - in_full[-1] if in_full else 0)
+
+    words = np.ascontiguousarray(packed).view(np.uint64)
+    rows, of, found = np.arange(n), np.arange(n), []  # of: which connected set each row is of, so far
+
+    def sort(order):
+        nonlocal rows, of, key, bits, words
+        rows, of, key, bits, words = (x[order] for x in (rows, of, key, bits, words))
+
+    def join(i, j):
+        """Keeps of these near pairs what connects."""
+        nonlocal of
+        while True:
+            a, b = of[i], of[j]
+            some = np.flatnonzero(a != b)
+            if not len(some):
+                return
+            i, j, a, b = i[some], j[some], a[some], b[some]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            found.append((rows[i[first]], rows[j[first]]))
+            root = np.arange(n)
+            root[high] = np.minimum(a, b)[first]
+            while (root[root] != root).any():
+                root = root[root]
+            of = root[of]
+
+    def test(i, j):
+        some = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= budget)
+        if len(some):
+            i, j = i[some], j[some]
+            some = passes(np.bitwise_count(words[i] ^ words[j]), distance)
+            join(i[some], j[some])
+
+    sort(np.argsort(key, kind="stable"))
+    # rows with the same key
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, n])
+    ends = np.repeat(first + size, size)
+    few = np.flatnonzero(np.repeat(size <= DENSE, size))
+    for own, j in runs(few + 1, ends[few] - few - 1):
+        test(few[own], j)
+    for k in np.flatnonzero(size > DENSE):
+        if tree := forest(words[first[k] : first[k] + size[k]].view(np.uint8), distance):
+            join(*(first[k] + np.array(tree).T))
+    # rows that a link connects, and that have the same key, go on as one
+    sort(np.lexsort((of, key)))
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+    size = np.diff(np.r_[first, n])
+    keys = key[first]
+    table = np.searchsorted(keys, np.arange((1 << sum(widths)) + 1))
+    for flip in flips(tuple(widths))[1:]:
+        mine = np.flatnonzero(keys & (1 << (flip.bit_length() - 1)) == 0)
+        low, high = table[keys[mine] ^ flip], table[(keys[mine] ^ flip) + 1]
+        some = np.flatnonzero(high > low)
+        mine, low, high = mine[some], low[some], high[some]
+        for own, theirs in runs(low, high - low):
+            own = mine[own]
+            if len(keys) == n:
+                test(own, theirs)
+                continue
+            some = np.flatnonzero(of[first[own]] != of[first[theirs]])
+            own, theirs = own[some], theirs[some]
+            area = size[own] * size[theirs]
+            some = np.flatnonzero(area <= DENSE * DENSE)
+            for k, x in runs(np.zeros(len(some), np.int64), area[some]):
+                k = some[k]
+                test(first[own[k]] + x // size[theirs[k]], first[theirs[k]] + x % size[theirs[k]])
+            for k in np.flatnonzero(area > DENSE * DENSE):
+                a, b = sorted((own[k], theirs[k]), key=lambda g: size[g])
+                if of[first[a]] != of[first[b]]:
+                    i, j = bridges(*(words[first[g] : first[g] + size[g]].view(np.uint8) for g in (a, b)), distance, once=True)
+                    join(first[a] + i, first[b] + j)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """a, b: links between distinct hashes, which connect whatever is connected by pairs within the distance.
+
+    A set of more than `block` documents that meet is not compared where it meets: each two of its blocks
     are shuffled again and compared by as many tasks.
     """
 
@@ -156,7 +297,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n_rings: int = RINGS, join
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 packed = np.frombuffer(b"".join(part.column("hash").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                keys = chains(packed, n_rings, joined)
+                keys = parts(packed, distance)
                 at = np.repeat(np.arange(len(packed)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), part.column("hash").take(pa.array(at))], ["key", "hash"])
 
@@ -178,34 +319,28 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n_rings: int = RINGS, join
             yield from within(pa.Table.from_batches(held))
 
     def compare(batches):
-        """Of each pair of blocks the links between the two, or within the one."""
+        """Of each pair of blocks the links among their rows."""
         for table in whole(batches, "task"):
-            tasks, side = table.column("task").to_numpy(), table.column("side").to_numpy()
+            tasks, part = table.column("task").to_numpy(), table.column("part").to_numpy()
             every = table.column("a").to_pylist()
             packed = np.frombuffer(b"".join(every), np.uint8).reshape(-1, BITS // 8)
             starts = np.flatnonzero(np.r_[True, tasks[1:] != tasks[:-1]])
             for start, end in zip(starts, [*starts[1:], len(tasks)]):
-                left, right = (start + np.flatnonzero(side[start:end] == k) for k in (0, 1))
-                if len(right):
-                    i, j = bridges(packed[left], packed[right], distance)
-                    i, j = left[i], right[j]
-                else:
-                    found = forest(packed[left], distance)
-                    i, j = left[np.array(found, np.int64).reshape(-1, 2)].T
-                if len(i):
-                    pairs = [pa.array(every, pa.binary()).take(pa.array(x)) for x in (i, j)]
+                found = linked(packed[start:end], int(part[start]), distance)
+                if len(found[0]):
+                    pairs = [pa.array(every, pa.binary()).take(pa.array(start + x)) for x in found]
                     yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
-    def split(start: int, key: int, hashes: pa.Array):
-        """Rows for the second shuffle: of n blocks each hash goes to n pairs of blocks."""
+    def split(key: int, hashes: pa.Array):
+        """Rows for the second shuffle: of n blocks each hash goes to n - 1 pairs of blocks."""
         n = -(-len(hashes) // block)
         for x in range(n):
             own = hashes.slice(x * block, block)
             for y in range(n):
-                lo, hi = min(x, y), max(x, y)
-                task = xxhash.xxh3_64_intdigest(f"{key}:{lo}:{hi}") >> 1
-                k = len(own)
-                yield pa.RecordBatch.from_arrays([own, pa.nulls(k, pa.binary()), pa.array(np.full(k, task)), pa.array(np.full(k, int(x > y), np.int32))], ["a", "b", "task", "side"])
+                if x != y:
+                    task = xxhash.xxh3_64_intdigest(f"{key}:{min(x, y)}:{max(x, y)}") >> 1
+                    k = len(own)
+                    yield pa.RecordBatch.from_arrays([own, pa.nulls(k, pa.binary()), pa.array(np.full(k, task)), pa.array(np.full(k, key >> 32, np.int32))], ["a", "b", "task", "part"])
 
     def within(table: pa.Table):
         keys = table.column("key").to_numpy()
@@ -233,23 +368,22 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n_rings: int = RINGS, join
                         j.append(hit + y)
         hot = sizes > block
         for start, size, key in zip(at[hot].tolist(), sizes[hot].tolist(), met[hot].tolist()):
-            yield from split(start, key, pa.array(every[start : start + size], pa.binary()))
+            yield from split(key, pa.array(every[start : start + size], pa.binary()))
         between = (sizes > SMALL) & ~hot
-        for start, size in zip(at[between].tolist(), sizes[between].tolist()):
-            if found := forest(packed[start : start + size], distance):
-                x, y = np.array(found).T
-                i.append(x + start)
-                j.append(y + start)
+        for start, size, key in zip(at[between].tolist(), sizes[between].tolist(), met[between].tolist()):
+            x, y = linked(packed[start : start + size], key >> 32, distance)
+            i.append(x + start)
+            j.append(y + start)
         if i:
             pairs = (pa.array(every, pa.binary()).take(pa.array(np.concatenate(x))) for x in (i, j))
             pairs, k = list(pairs), sum(map(len, i))
-            yield pa.RecordBatch.from_arrays([*pairs, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], ["a", "b", "task", "side"])
+            yield pa.RecordBatch.from_arrays([*pairs, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], ["a", "b", "task", "part"])
 
     spreaded = nodes.select("hash").mapInArrow(spread, "key long, hash binary")
-    met = cut(spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary, task long, side int"))
+    met = cut(spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary, task long, part int"))
     found = met.filter("task is null").select("a", "b")
     if met.filter("task is not null").take(1):
-        hot = met.filter("task is not null").select("task", "side", "a")
+        hot = met.filter("task is not null").select("task", "part", "a")
         found = found.union(hot.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a binary, b binary"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -277,29 +411,29 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def placed(known: DataFrame, distance: int = DISTANCE, n_rings: int = RINGS, joined: int = JOINED) -> DataFrame:
+def placed(known: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, hash, root of every row of hashes() that has a hash; rows of one root are one group."""
     known = known.filter("hash is not null")
     nodes = cut(known.select("hash").distinct())
-    roots = components(links(nodes, distance, n_rings, joined)).withColumnRenamed("node", "hash")
+    roots = components(links(nodes, distance)).withColumnRenamed("node", "hash")
     drop(nodes)
     return known.join(roots, "hash", "left").select("doc_id", "hash", F.coalesce("root", "hash").alias("root"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, n_rings: int = RINGS, joined: int = JOINED) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, group_id, group_size: every document that has near-duplicates, with the document that stays for it."""
-    all_ = placed(cut(hashes(docs, id_col, text_col)), distance, n_rings, joined).select("doc_id", "root").distinct()
+    all_ = placed(cut(hashes(docs, id_col, text_col)), distance).select("doc_id", "root").distinct()
     sizes = all_.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     return all_.join(sizes, "root").select("doc_id", "group_id", "group_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, n_rings: int = RINGS, joined: int = JOINED) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The documents without those that another one stays for, with all their columns.
 
     Ids that occur in several rows are looked at by text: of rows alike in id and hash one stays.
     """
     known = cut(hashes(docs, id_col, text_col))
-    all_ = placed(known, distance, n_rings, joined)
+    all_ = placed(known, distance)
     stay = cut(all_.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.hash").alias("hash")))
     # an id that occurs once goes unless it stays for a group; ids of several rows go here and come back below
     counts = known.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.count("hash").alias("hashed"))

@@ -166,3 +166,69 @@ def test_hot_keys_are_split(spark):
         assert {(bytes(r.node), bytes(r.root)) for r in S.components(S.links(nodes, block=block)).collect()} == want
     four = S.chains(np.random.default_rng(0).integers(0, 256, (50, 32), dtype=np.uint8), 2, 4)
     assert four.dtype == np.int64 and four.max() >= 1 << 32 and len(np.unique(four)) == four.size
+
+
+def scattered(n, seed):
+    """Pairs of hashes that differ in 36 bits and share no chain of three segments."""
+    r, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        a = r.integers(0, 256, 32, dtype=np.uint8)
+        at = np.r_[np.arange(32), r.choice(32, 4, replace=False)]
+        b = np.unpackbits(a)
+        for k in range(36):
+            free = np.flatnonzero(b[8 * at[k] : 8 * at[k] + 8] == np.unpackbits(a)[8 * at[k] : 8 * at[k] + 8])
+            b[8 * at[k] + r.choice(free)] ^= 1
+        b = np.packbits(b)
+        if not (np.diff(S.chains(np.stack([a, b])), axis=0) == 0).any():
+            out.append((a, b))
+    return out
+
+
+def test_pairs_that_share_no_chain_are_linked(spark):
+    pairs = scattered(200, 4)
+    assert all(np.bitwise_count(a ^ b).sum() == S.DISTANCE for a, b in pairs)
+    nodes = spark.createDataFrame([(x.tobytes(),) for p in pairs for x in p], "hash binary")
+    want = {tuple(sorted((a.tobytes(), b.tobytes()))) for a, b in pairs}
+    assert {(bytes(r.a), bytes(r.b)) for r in S.links(nodes).collect()} == want
+    assert {(bytes(r.a), bytes(r.b)) for r in S.links(nodes, block=5).collect()} == want
+    assert S.links(nodes, 35).count() == 0
+
+
+def test_groups_are_those_of_brute_force(spark):
+    rows = copies(150, 8) + [(10_000 + r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    pairs, group = brute(rows)
+    got = {r.doc_id: r.group_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: g for d, g in group.items() if d in {x for p in pairs for x in p}}
+
+
+def met(packed, distance):
+    """The links of all sets that meet, without Spark."""
+    keys, out = S.parts(packed, distance), []
+    for k in range(keys.shape[1]):
+        for key in np.unique(keys[:, k]):
+            at = np.flatnonzero(keys[:, k] == key)
+            out += [(int(at[i]), int(at[j])) for i, j in zip(*S.linked(packed[at], int(key) >> 32, distance))]
+    return out
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.integers(0, 10**6), st.sampled_from([0, 1, 2, 3, 8, 17, 36, 36, 36, 60, 100]), st.integers(0, 2), st.sampled_from([1, 4, 128]), st.sampled_from([7, 1 << 20]))
+def test_all_that_is_near_is_connected(seed, distance, level, dense, pairs):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(2, 80))
+    base = r.integers(0, 256, (int(r.integers(1, 7)), 32), dtype=np.uint8)
+    rows = base[r.integers(0, len(base), n)]
+    for row in rows:
+        for b in r.choice(256, r.integers(0, distance + 2), replace=False):
+            row[b // 8] ^= 1 << (b % 8)
+    rows = np.unique(rows, axis=0)
+    n = len(rows)
+    near = [(a, b) for a in range(n) for b in range(a + 1, n) if np.bitwise_count(rows[a] ^ rows[b]).sum() <= distance]
+    before = S.DIRECT, S.SHALLOW, S.DENSE, S.PAIRS
+    S.DIRECT, S.SHALLOW, S.DENSE, S.PAIRS = *[(1000, 1000), (1, 1000), (1, 1)][level], dense, pairs
+    try:
+        got = met(rows, distance)
+    finally:
+        S.DIRECT, S.SHALLOW, S.DENSE, S.PAIRS = before
+    assert {tuple(sorted(p)) for p in got} <= set(near)
+    assert parts(n, got) == parts(n, near)
