@@ -1,9 +1,13 @@
 """The pipeline against a plain version, stage by stage."""
 
+import random
+import shutil
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 import corpus_pipeline as C
 from loomgrid.llm import decontam, packing, pii, quality
@@ -65,3 +69,19 @@ def test_decisions_take_effect(spark):
     assert 200 > sizes[0] > sizes[1] > sizes[2] == sizes[3]
     masked = docs.filter("text like '%<EMAIL>%'")
     assert masked.count() > 0 and np.all([r.n_chars == len(r.text) for r in masked.collect()])
+
+
+def test_no_near_copy_is_left(spark, tmp_path):
+    """Of documents and copies with one word in eight exchanged, just those of the plain version are packed."""
+    docs, r = pq.read_table(f"{FOLDER}/documents.parquet"), random.Random(1)
+    texts, copies = docs.column("text").to_pylist(), []
+    for t in texts:
+        w, other = (t or "").split(), (r.choice(texts) or "").split() or ["x"]
+        at = set(r.sample(range(len(w)), len(w) // 8))
+        copies.append(" ".join(r.choice(other) if k in at else x for k, x in enumerate(w)))
+    new = {"doc_id": [10**6 + d for d in docs.column("doc_id").to_pylist()], "text": copies, "n_chars": list(map(len, copies))}
+    more = pa.table([pa.array(new[f.name], f.type) if f.name in new else docs.column(f.name) for f in docs.schema], schema=docs.schema)
+    pq.write_table(pa.concat_tables([docs, more]), tmp_path / "documents.parquet")
+    shutil.copy(f"{FOLDER}/benchmark.parquet", tmp_path)
+    want, got = plain(tmp_path), {x.doc_id for x in C.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert got == set(want) and 10 < sum(d >= 10**6 for d in got) < len(texts)
