@@ -11,8 +11,8 @@ Equal hashes are folded before the search, so a text that is copied a million ti
 that are kept are a spanning forest of all links found among them, and rows that links connect are compared as one, so large groups of near copies cost links in proportion to
 their size and no partner is dropped: groups are the connected components of all links.
 
-Defined results: a null or empty text, or one without words, has no hash and no group; a row of null id is in no group; in a tie between the halves of a
-bit's votes it is 0; repeated rows share one id and so one place in the result; the document of the least id stays for its group; an
+Defined results: a null or empty text, or one without words, has no hash and no group; a row of null id is in no group, and `keep_one` keeps it unless told
+to judge such rows too (`null_ids`, as the pipeline does: documents with an id stay before them); in a tie between the halves of a bit's votes it is 0; repeated rows share one id and so one place in the result; the document of the least id stays for its group; an
 empty table gives an empty table; other columns are ignored by `groups` and kept by `keep_one`, whatever their names.
 """
 
@@ -84,8 +84,8 @@ class Hasher:
         return np.packbits(2 * votes > len(rows)).tobytes()
 
 
-def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hash of the documents that have an id; a hash is null where there are no words. A map without a shuffle."""
+def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """doc_id, hash of the documents that have an id, or of all; a hash is null where there are no words. A map without a shuffle."""
     made: list[Hasher] = []
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -93,8 +93,8 @@ def hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             made.append(Hasher())
         return {"doc_id": batch.column("doc_id"), "hash": [made[0](t) for t in batch.column("text").to_pylist()]}
 
-    kept = pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string")).filter("doc_id is not null")
-    return arrow_map(kept, run, "doc_id long, hash binary")
+    kept = pick(docs, doc_id=docs[id_col].cast("long"), text=docs[text_col].cast("string"))
+    return arrow_map(kept if null_ids else kept.filter("doc_id is not null"), run, "doc_id long, hash binary")
 
 
 def chains(packed: np.ndarray, n: int = RINGS, joined: int = JOINED) -> np.ndarray:
@@ -427,25 +427,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dist
     return all_.join(sizes, "root").select("doc_id", "group_id", "group_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, null_ids: bool = False) -> DataFrame:
     """The documents without those that another one stays for, with all their columns.
 
-    Ids that occur in several rows are looked at by text: of rows alike in id and hash one stays.
+    Ids that occur in several rows are looked at by text: of rows alike in id and hash one stays. With `null_ids` so are
+    rows of null id; without it they all stay.
     """
-    known = cut(hashes(docs, id_col, text_col))
+    id_ = docs[id_col].cast("long")
+    known = cut(hashes(docs, id_col, text_col, null_ids))
     all_ = placed(known, distance)
-    stay = cut(all_.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.hash").alias("hash")))
+    stay = all_.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("s"))
+    stay = cut(stay.select(F.col("s.doc_id").alias("id"), F.col("s.hash").alias("hash")))
     # an id that occurs once goes unless it stays for a group; ids of several rows go here and come back below
     counts = known.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.count("hash").alias("hashed"))
     gone = counts.join(stay.select(F.col("id").alias("__id")).distinct().withColumn("stays", F.lit(True)), "__id", "left")
     gone = cut(gone.filter("n > 1 or hashed > 0 and stays is null").select("__id", "n"))
     drop(known)
-    once = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col].cast("long") == gone["__id"], "left_anti")
-    again = gone.filter("n > 1").select("__id")
+    once = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_ == gone["__id"], "left_anti")
+    again = gone.filter("n > 1 or __id is null").select("__id")
     if not again.take(1):
         return once
     # the few ids of several rows: one row of each (id, hash) that stays; rows without a hash stay
-    rows = docs.join(again, docs[id_col].cast("long") == again["__id"], "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.join(again, id_ == again["__id"], "left_semi").select(row)
+    if again.filter("__id is null").take(1):
+        once, rows = once.filter(id_.isNotNull()), rows.union(docs.filter(id_.isNull()).select(row))
     made: list[Hasher] = []
 
     @F.arrow_udf("binary")
@@ -455,7 +461,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
         return pa.array([made[0](t) for t in texts.to_pylist()], pa.binary())
 
     rows = rows.select("row", F.col("row").getField(id_col).cast("long").alias("id"), hashed(F.col("row").getField(text_col).cast("string")).alias("hash"))
-    first = rows.filter("hash is not null").withColumn("n", F.row_number().over(W.partitionBy("id", "hash").orderBy("id"))).filter("n = 1").join(stay, ["id", "hash"]).select("row")
+    first = rows.filter("hash is not null").withColumn("n", F.row_number().over(W.partitionBy("id", "hash").orderBy("id"))).filter("n = 1")
+    stays = stay.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    first = first.join(stays, (first["hash"] == stays["__hash"]) & first["id"].eqNullSafe(stays["__id"]), "left_semi").select("row")
     return once.unionByName(first.union(rows.filter("hash is null").select("row")).select("row.*"))
 
 

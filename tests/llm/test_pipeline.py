@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline as C
 from loomgrid.llm import decontam, packing, pii, quality
-from test_simhash import brute
+from test_simhash import brute, copies
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -85,3 +85,23 @@ def test_no_near_copy_is_left(spark, tmp_path):
     shutil.copy(f"{FOLDER}/benchmark.parquet", tmp_path)
     want, got = plain(tmp_path), {x.doc_id for x in C.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert got == set(want) and 10 < sum(d >= 10**6 for d in got) < len(texts)
+
+
+def test_rows_without_id_leave_no_near_copy(spark):
+    """A row of null id goes when another is near: documents with an id stay first, of rows without one just one."""
+    made = copies(60, 7)
+    rows = [(k if k % 3 else 10**6 + k, t) for k, t in made]  # from 10**6 on: without an id
+    _, group = brute(rows)
+    df = spark.createDataFrame([(d if d < 10**6 else None, t) for d, t in rows] + [(None, t) for _, t in made[:9]] + [(None, ""), (None, None), (7, "")], "doc_id long, text string")
+    kept, of = C.near_dedup(spark, df, FOLDER).collect(), {t: group[d] for d, t in rows}
+    assert sorted(of[r.text] for r in kept if r.text) == sorted(set(group.values()))
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {g for g in group.values() if g < 10**6} | {7}
+    assert any(r.doc_id is None and r.text for r in kept) and sum(not r.text for r in kept) == 3
+
+
+def test_copies_without_id_are_not_packed(spark, tmp_path):
+    docs = pq.read_table(f"{FOLDER}/documents.parquet")
+    more = docs.set_column(docs.schema.get_field_index("doc_id"), "doc_id", pa.nulls(len(docs), docs.schema.field("doc_id").type))
+    pq.write_table(pa.concat_tables([docs, more]), tmp_path / "documents.parquet")
+    shutil.copy(f"{FOLDER}/benchmark.parquet", tmp_path)
+    assert {x.doc_id for x in C.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(plain(FOLDER))
