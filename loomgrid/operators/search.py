@@ -59,9 +59,13 @@ def hidden(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda p: p.startswith(".") & ~p.isin(".", ".."))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines by any line separator, without the empty last one."""
-    parts = F.split(text, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
+#: Any line separator.
+SEPARATORS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+
+
+def split_lines(text: Column, separators: str = SEPARATORS) -> Column:
+    """Lines without the empty last one."""
+    parts = F.split(text, separators)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -103,5 +107,5 @@ def counters(searched: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     return searched.agg(F.count(F.lit(1)).alias("files_searched")).crossJoin(hits).withColumn("truncated", F.col("total_matches") >= limit)
 
 
-def text_stats(text: Column) -> list[Column]:
-    return [F.size(split_lines(text)).cast("long").alias("lines"), F.length(text).cast("long").alias("characters")]
+def text_stats(text: Column, separators: str = SEPARATORS) -> list[Column]:
+    return [F.size(split_lines(text, separators)).cast("long").alias("lines"), F.length(text).cast("long").alias("characters")]
