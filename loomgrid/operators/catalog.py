@@ -28,8 +28,8 @@ def keyword(query: str) -> Column:
     return has(F.col("name")) | has(F.col("description")) | has(F.col("brief_description")) | F.coalesce(F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(q))), F.lit(False))
 
 
-def search(tools: DataFrame, query: str, category: str | None = None, tags: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Keyword search with any of the tags; the limit takes the first by name and version, then names that hold the query come first."""
+def search(tools: DataFrame, query: str, category: str | None = None, tags: list[str] | None = None, limit: int = 20, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Keyword search with any of the tags; the limit takes the first by name, version and `ties`, then names that hold the query come first."""
     if limit <= 0:
         raise ValueError("the limit must be positive")
     found = tools.filter(keyword(query))
@@ -37,8 +37,9 @@ def search(tools: DataFrame, query: str, category: str | None = None, tags: list
         found = found.filter(F.lower("category") == category.lower())
     if tags:
         found = found.filter(F.arrays_overlap(F.transform("tags", F.lower), F.array(*[F.lit(x.lower()) for x in tags])))
-    some = found.orderBy("name", "version").limit(limit)
-    return some.orderBy(~F.contains(F.lower("name"), F.lit(query.strip().lower())), "name", "version")
+    order = [F.asc_nulls_last(c) for c in ("name", "version", *ties)]
+    some = found.orderBy(*order).limit(limit)
+    return some.orderBy(~F.contains(F.lower("name"), F.lit(query.strip().lower())), *order)
 
 
 def latest(tools: DataFrame) -> DataFrame:

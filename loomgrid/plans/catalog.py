@@ -35,8 +35,8 @@ def registry_list(t: Tables) -> DataFrame:
 
 @query("p09_keyword_search", "P-09 P-10 P-11 O-03 P-27 A-19", f"with {SQL}, f as (select * from tools where (contains(lower(name), 'bolt') or contains(lower(description), 'bolt')) and lower(category) in ('brand#4') and (list_contains(tags, 'blue') or list_contains(tags, 'red')) order by name, version, seq limit 20) select tool_id as name, category, version from f")
 def keyword_search(t: Tables) -> DataFrame:
-    found = C.search(tools(t).withColumn("version", F.concat_ws(".", F.lpad("version", 3, " "), F.lpad(F.col("seq").cast("string"), 12, "0"))), "BOLT", category="BRAND#4", tags=["Blue", "RED"], limit=10**6)
-    return found.select(F.col("tool_id").alias("name"), "category", F.trim(F.split_part("version", F.lit("."), F.lit(1))).alias("version"))
+    found = C.search(tools(t), "BOLT", category="BRAND#4", tags=["Blue", "RED"], ties=("seq",))
+    return found.select(F.col("tool_id").alias("name"), "category", "version")
 
 
 @query("o03_search_relevance", "O-03 C-10", f"""with {SQL}, f as (select * from tools where contains(lower(name), 'ring') or contains(lower(description), 'ring') or list_contains(list_transform(tags, lambda x: contains(x, 'ring')), true)),

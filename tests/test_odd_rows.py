@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the given tables don't have."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 from compare import check
@@ -28,3 +30,10 @@ def test_text_stats_of_odd_texts(same_rows, texts):
 def test_text_stats_of_repeated_ids(same_rows):
     rows = [(1, "a"), (1, "b\nc"), (2, ""), (2, "d"), (3, None), (None, "e"), (4, None), (4, "f")]
     assert sorted(same_rows("a29_text_stats", documents=(rows, "doc_id long, text string"))) == [(1, 6, 3), (2, 2, 1), (4, 2, 1)]
+
+
+def test_keyword_search_takes_the_first_twenty(same_rows):
+    parts = [(k, "blue bolt" if k % 2 else "red bolt", "Brand#4", "SMALL", (None, 2, 10, 9, 1)[k % 5]) for k in range(1, 61)]
+    uses = [(k, datetime(2024, 1, 1)) for k in (1, 1, 2)]
+    got = same_rows("p09_keyword_search", part=(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"), lineitem=(uses, "l_partkey long, l_shipdate timestamp"))
+    assert len(got) == 20
