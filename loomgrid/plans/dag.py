@@ -83,7 +83,7 @@ l as (select plan, task, cast(max(layer) as bigint) as layer from r group by 1,
 
 def lines(t: Tables) -> DataFrame:
     n = F.col("task")
-    p = t.lineitem.groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("task")).agg(F.sum("l_quantity").alias("hours"), F.count(F.lit(1)).alias("priority"))
+    p = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("task")).agg(F.sum("l_quantity").alias("hours"), F.count(F.lit(1)).alias("priority"))
     return p.withColumn("waits", F.when(n % 2 == 0, F.array_distinct(F.array(n - 1, F.floor(n / 2).cast("int")))).otherwise(F.array(n - 2)))
 
 
