@@ -183,13 +183,8 @@ def roots(tasks: DataFrame) -> DataFrame:
 
 def critical_path(tasks: DataFrame) -> DataFrame:
     """plan, hours of its longest chain, and what it saves over one task after another."""
-    done = layers(tasks).join(tasks.select("plan", "task", "hours"), ["plan", "task"])
-    e, ends = edges(tasks), done.filter("layer = 0").select("plan", "task", F.col("hours").alias("ends"))
-    for k in range(1, (done.agg(F.max("layer")).first()[0] or 0) + 1):
-        before = e.join(ends.select("plan", F.col("task").alias("waits_for"), F.col("ends").alias("b")), ["plan", "waits_for"]).groupBy("plan", "task").agg(F.max("b").alias("b"))
-        ends = settled(ends.unionByName(done.filter(F.col("layer") == k).join(before, ["plan", "task"]).select("plan", "task", (F.col("b") + F.col("hours")).alias("ends"))))
-    total = tasks.groupBy("plan").agg(F.sum("hours").alias("total"))
-    return ends.groupBy("plan").agg(F.max("ends").alias("hours")).join(total, "plan").select("plan", "hours", (F.col("total") - F.col("hours")).alias("saved"))
+    plans = placed(tasks, ends=True).dropna(subset=["plan"]).groupBy("plan").agg(F.max("ends").alias("hours"), F.sum("hours").alias("total"))
+    return plans.select("plan", "hours", (F.col("total") - F.col("hours")).alias("saved"))
 
 
 def start_and_stop(tasks: DataFrame) -> DataFrame:

@@ -68,3 +68,18 @@ def test_tables_hold_whole_plans(monkeypatch):
         got = [t.to_pydict() for t in dag.whole_plans(table.to_batches(max_chunksize=step), 6)]
         assert sorted(x for t in got for x in zip(*t.values())) == sorted(rows)
         assert all(t["__place"][0] == 1 and set(t["plan"]).isdisjoint(u["plan"]) for i, t in enumerate(got) for u in got[:i] if 0 < t["__tasks"][0] <= 6)
+
+
+@pytest.mark.parametrize("most", [dag.MOST, 2])
+def test_critical_path(spark, settled, monkeypatch, most):
+    rows = [r for r in graphs() if most > 2 or r[0] != "chain"]
+    at, ends = walked(rows), {}
+    for p, t, ws, h, _ in sorted(rows, key=lambda r: at[r[:2]]):
+        before = [ends[p, w] for w in ws or [] if at[p, t] and (p, w) in at and None not in (t, w)]
+        ends[p, t] = None if h is None or before and set(before) == {None} else h + max((b for b in before if b is not None), default=0)
+    want = {p: max(e for k, e in ends.items() if k[0] == p and e is not None) for p in {r[0] for r in rows} - {None}}
+    place = dag.placed
+    monkeypatch.setattr(dag, "placed", lambda *a, **k: place(*a, **k, most=most))
+    got = {r.plan: (r.hours, r.saved) for r in dag.critical_path(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {p: (h, sum(r[3] or 0 for r in rows if r[0] == p) - h) for p, h in want.items()}
+    assert most == 2 or len(settled) == 1
