@@ -190,7 +190,7 @@ def critical_path(tasks: DataFrame) -> DataFrame:
 def start_and_stop(tasks: DataFrame) -> DataFrame:
     """plan, task and its places among starts and stops: by layer, priority and name, and the other way round."""
     w = W.partitionBy("plan")
-    rows = layers(tasks).join(tasks.select("plan", "task", "priority"), ["plan", "task"])
+    rows = placed(tasks, "priority").dropna(subset=["plan", "task"])
     place = lambda *by: F.row_number().over(w.orderBy(*by)).cast("long")
     return rows.select("plan", "task", place("layer", "priority", "task").alias("start_order"), place(F.desc("layer"), F.desc("priority"), F.desc("task")).alias("stop_order"))
 

@@ -83,3 +83,23 @@ def test_critical_path(spark, settled, monkeypatch, most):
     got = {r.plan: (r.hours, r.saved) for r in dag.critical_path(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {p: (h, sum(r[3] or 0 for r in rows if r[0] == p) - h) for p, h in want.items()}
     assert most == 2 or len(settled) == 1
+
+
+def in_order(rows):
+    """Known tasks of known plans, by plan in the order of starts."""
+    at, plans = walked(rows), {}
+    for r in sorted((r for r in rows if None not in r[:2]), key=lambda r: (at[r[:2]], r[4], r[1])):
+        plans.setdefault(r[0], []).append(r)
+    return plans
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_start_and_stop_reads_tasks_once(spark):
+    rows = graphs()
+    got = dag.start_and_stop(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.plan, r.task): r.start_order for r in got.collect()} == {r[:2]: i for rs in in_order(rows).values() for i, r in enumerate(rs, 1)}
+    assert all(r.start_order + r.stop_order == len(in_order(rows)[r.plan]) + 1 for r in got.collect())
+    assert joins(got) == 0
