@@ -197,5 +197,5 @@ def start_and_stop(tasks: DataFrame) -> DataFrame:
 
 def simulated(tasks: DataFrame) -> DataFrame:
     """plan, task, ends: hours from the plan's start when tasks run one after another in order of layer, priority and name."""
-    rows = layers(tasks).join(tasks.select("plan", "task", "priority", "hours"), ["plan", "task"])
+    rows = placed(tasks, "priority", "hours").dropna(subset=["plan", "task"])
     return rows.select("plan", "task", F.round(F.sum("hours").over(W.partitionBy("plan").orderBy("layer", "priority", "task")), 6).alias("ends"))

@@ -103,3 +103,14 @@ def test_start_and_stop_reads_tasks_once(spark):
     assert {(r.plan, r.task): r.start_order for r in got.collect()} == {r[:2]: i for rs in in_order(rows).values() for i, r in enumerate(rs, 1)}
     assert all(r.start_order + r.stop_order == len(in_order(rows)[r.plan]) + 1 for r in got.collect())
     assert joins(got) == 0
+
+
+def test_simulated_run_reads_tasks_once(spark):
+    rows = graphs()
+    got, want = dag.simulated(spark.createDataFrame(rows, SCHEMA)), {}
+    for rs in in_order(rows).values():
+        for i, r in enumerate(rs, 1):
+            hours = [x[3] for x in rs[:i] if x[3] is not None]
+            want[r[:2]] = sum(hours) if hours else None
+    assert {(r.plan, r.task): r.ends for r in got.collect()} == want
+    assert joins(got) == 0
